@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Largest number of rows of a side that is broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 500_000
 _made: dict[str, list[str]] = {}
 
 
@@ -64,8 +64,11 @@ def release(spark: SparkSession, since: int = 0) -> None:
 
 
 def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df``, hinted for broadcast only if it has at most ``limit`` rows. Give it a written table: it is counted."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    """``df``, hinted for broadcast only if it has at most ``limit`` rows, else for a shuffled hash join built on it.
+
+    Give it a written table of narrow rows: it is counted first.
+    """
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df.hint("shuffle_hash")
 
 
 def place(df: DataFrame, name: str) -> int:

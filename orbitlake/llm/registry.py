@@ -1,12 +1,14 @@
 """Queries of the corpus operators and the SQL of those that SQL can express."""
 
-from . import language_id, secret_scan, source_mix, warc
+from . import language_id, line_dedup, secret_scan, simhash, source_mix, warc
 
 QUERIES = {
     "op1_secret_scan": secret_scan.query,
     "op3_mix_sources": source_mix.query,
     "op4_language_id": language_id.query,
     "op5_warc": warc.query,
+    "op6_line_dedup": line_dedup.query,
+    "op8_simhash_dedup": simhash.query,
 }
 SQL = {
     "op1_secret_scan": secret_scan.SQL,
