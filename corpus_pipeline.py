@@ -1,22 +1,50 @@
-"""Corpus preparation: STAGES over ``documents``, each written as Parquet and reread by the next."""
+"""Corpus preparation: STAGES over ``documents``, each written as Parquet and reread by the next.
+
+1. language ID: documents that the classifier rejects go.
+2. line dedup: of similar lines one stays; documents whose lines are all duplicates go.
+3. near-duplicate documents: one document of each group stays.
+4. mixing sources: documents are repeated or left out to reach the target weights.
+5. packing: the pieces of the packs, in the order of the space-filling curve.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orbitlake.llm import language_id, source_mix
-from orbitlake.llm.common import mark, release, scratch_path
+from orbitlake.llm import language_id, line_dedup, packing, simhash, source_mix
+from orbitlake.llm.common import mark, positional, release, scratch_path
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return language_id.keep_identified(docs)
 
 
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.drop_near_duplicates(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return source_mix.mix_sources(docs).drop("copy_no")
+    mixed = positional(source_mix.mix_sources(docs))
+    names = [c for c in docs.columns if c != "copy_no"]
+    return mixed.select(*[f"_{i}" for i in range(len(names))]).toDF(*names)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
 
 
-STAGES = [("language ID", identify_language), ("mixing sources", mix_sources)]
+STAGES = [
+    ("language ID", identify_language),
+    ("line dedup", dedup_lines),
+    ("near-duplicate documents", drop_near_duplicates),
+    ("mixing sources", mix_sources),
+    ("packing", pack),
+]
+#: Language ID, MinHash, SimHash and the Hilbert order can't be put in SQL.
 ORACLE_SQL = None
 
 
