@@ -1,6 +1,6 @@
 """Queries of the corpus operators and the SQL of those that SQL can express."""
 
-from . import fingerprint, language_id, line_dedup, packing, repair, secret_scan, simhash, source_mix, warc
+from . import fingerprint, language_id, line_dedup, mtree, packing, repair, secret_scan, simhash, source_mix, warc
 
 QUERIES = {
     "op1_secret_scan": secret_scan.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_line_dedup": line_dedup.query,
     "op7_repair_ids": repair.query,
     "op8_simhash_dedup": simhash.query,
+    "op9_mtree_topk": mtree.query,
     "op10_packing": packing.query,
 }
 SQL = {
@@ -18,4 +19,5 @@ SQL = {
     "op2_fingerprint": fingerprint.SQL,
     "op3_mix_sources": source_mix.SQL,
     "op5_warc": warc.SQL,
+    "op9_mtree_topk": mtree.SQL,
 }
