@@ -58,14 +58,18 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     count = np.maximum(size - SHINGLE + 1, 1)
     first = np.cumsum(count) - count
     start = np.arange(int(count.sum())) + np.repeat(off[:-1] - first, count)
-    end = np.repeat(off[1:], count)
-    h = np.zeros(len(start), np.uint64)
-    padded = np.concatenate([point, np.zeros(SHINGLE, np.uint32)]).astype(np.uint64)
+    wide = np.concatenate([point, np.zeros(SHINGLE, np.uint32)]).astype(np.uint64) + np.uint64(1)
+    rolled = np.zeros(len(point), np.uint64)
     for k in range(SHINGLE):
-        c = padded[start + k]
-        if k:
-            c = np.where(start + k < end, c, np.uint64(0))
-        h = h * np.uint64(0x100000001B3) + c + np.uint64(1)
+        rolled *= np.uint64(0x100000001B3)
+        rolled += wide[k : k + len(point)]
+    h = rolled[start]
+    short = np.flatnonzero(size < SHINGLE)
+    if len(short):
+        part = np.zeros(len(short), np.uint64)
+        for k in range(SHINGLE):
+            part = part * np.uint64(0x100000001B3) + np.where(k < size[short], wide[off[short] + k], np.uint64(0))
+        h[first[short]] = part
     return mix(h), first
 
 
@@ -106,30 +110,22 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(keys[:, b]) for b in range(BANDS)]], ["h1", *[f"b{b}" for b in range(BANDS)]])
 
 
-def _sets(col: Column) -> tuple[np.ndarray, np.ndarray]:
-    """(row, shingle hash) of every distinct shingle of every row, in that order."""
-    row, h = [], []
-    for lo, _, data, off in col.chunks(_CHUNK):
-        x, first = shingles(data, off)
-        r = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(x))))
-        order = np.lexsort((x, r))
-        x, r = x[order], r[order]
-        keep = np.ones(len(x), bool)
-        keep[1:] = (x[1:] != x[:-1]) | (r[1:] != r[:-1])
-        row.append(r[keep] + lo)
-        h.append(x[keep])
-    return np.concatenate(row), np.concatenate(h)
-
-
-def _decide(batch: pa.RecordBatch, n: int) -> Iterator[pa.RecordBatch]:
-    (ra, ha), (rb, hb) = (_sets(Column(batch.column(c))) for c in (2, 3))
-    size = np.bincount(ra, minlength=n) + np.bincount(rb, minlength=n)
-    row, h = np.concatenate([ra, rb]), np.concatenate([ha, hb])
-    order = np.lexsort((h, row))
-    row, h = row[order], h[order]
-    both = np.bincount(row[1:][(row[1:] == row[:-1]) & (h[1:] == h[:-1])], minlength=n)
-    near = pa.array(both >= THRESHOLD * (size - both) - 1e-9)
-    yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(1).filter(near)], ["a", "b"])
+def _near(left: pa.Array, right: pa.Array) -> np.ndarray:
+    """Which of at most 256 pairs reach the threshold: one sort of (pair, shingle hash, side)."""
+    n = len(left)
+    keys = []
+    for side, array in enumerate((left, right)):
+        col = Column(array)
+        h, first = shingles(col.data[col.offsets[0] : col.offsets[-1]], col.offsets - col.offsets[0])
+        row = np.repeat(np.arange(n, dtype=np.uint64), np.diff(np.append(first, len(h))))
+        keys.append((row << np.uint64(56)) | (h >> np.uint64(9) << np.uint64(1)) | np.uint64(side))
+    key = np.sort(np.concatenate(keys))
+    once = np.ones(len(key), bool)
+    once[1:] = key[1:] != key[:-1]
+    key = key[once]
+    row = (key >> np.uint64(56)).astype(np.int64)
+    shared = np.bincount(row[1:][key[1:] >> np.uint64(1) == key[:-1] >> np.uint64(1)], minlength=n)
+    return shared >= THRESHOLD * (np.bincount(row, minlength=n) - shared) - 1e-9
 
 
 def verify(pairs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -143,9 +139,10 @@ def verify(pairs: DataFrame, lines: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                yield from _decide(part, part.num_rows)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                near = pa.array(_near(part.column(2), part.column(3)))
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(near), part.column(1).filter(near)], ["a", "b"])
 
     return both.mapInArrow(run, "a bigint, b bigint")
 
