@@ -3,7 +3,10 @@
 Features are pairs of neighbouring folded words (the word itself in a text of one word),
 each counted as often as it occurs, hashed to 128 bits; the fingerprint holds the sign of
 each bit's sum. Documents whose fingerprints differ in at most ``RADIUS`` bits are linked,
-and the links' connected components are the groups.
+unless a second sketch denies it: 64 one-bit MinHash values of the set of words, which may
+differ in at most ``SKETCH`` bits (half of 1 - Jaccard of them are expected to). It keeps
+apart short texts that share a frequent line, whose few features make the fingerprint
+unsteady. The links' connected components are the groups.
 
 All distinct fingerprints are compared: they are laid out in tiles of ``TILE`` rows in
 order of population count; a pair of tiles is skipped when even their nearest population
@@ -33,19 +36,30 @@ from .components import components, forest
 from .text import Column, mix, prefix_hash, slots, span_hash, words
 
 RADIUS = 24
+SKETCH = 12
 TILE = 16_384
 BLOCK = 2_048
 _STRIP = 64
-_SCHEMA = "k1 bigint, k2 bigint, h0 bigint, h1 bigint, pop int"
+_SCHEMA = "k1 bigint, k2 bigint, h0 bigint, h1 bigint, m bigint, pop int"
+_rng = np.random.default_rng(8)
+_A = (_rng.integers(1, 1 << 32, 64, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
+_B = _rng.integers(0, 1 << 32, 64, dtype=np.uint64).astype(np.uint32)
 
 
-def fingerprints(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(low 64 bits, high 64 bits, has words) of every row."""
+def fingerprints(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(low 64 bits, high 64 bits, MinHash sketch, has words) of every row."""
     n = len(offsets) - 1
     h, count = words(data, offsets)
     h0, h1 = (span_hash(prefix_hash(data ^ np.uint8(x)), offsets[:-1], offsets[1:]) for x in (0, 0x5A))
     some = count > 0
+    sketch = np.zeros(n, np.uint64)
     if some.any():
+        begin = (np.cumsum(count) - count)[some]
+        short = (h >> np.uint64(32)).astype(np.uint32)
+        bits = np.zeros(int(some.sum()), np.uint64)
+        for k in range(64):
+            bits = bits << np.uint64(1) | (mix(np.minimum.reduceat(short * _A[k] + _B[k], begin).astype(np.uint64)) & np.uint64(1))
+        sketch[some] = bits
         row = slots(count)
         following = np.zeros_like(h)
         following[:-1] = np.where(row[1:] == row[:-1], h[1:], np.uint64(0))
@@ -58,7 +72,7 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
             bits = np.unpackbits(mix(feature + np.uint64(salt)).view(np.uint8).reshape(-1, 8), axis=1)
             total = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
             out[some] = np.packbits(2 * total > size[:, None], axis=1).view(np.uint64).ravel()
-    return h0, h1, some
+    return h0, h1, sketch, some
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -69,7 +83,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def fingerprint_table(docs: DataFrame) -> DataFrame:
-    """``(doc_id, k1, k2, h0, h1, pop)``, written; ``h0`` null for null and empty texts, ``pop`` null without words."""
+    """``(doc_id, k1, k2, h0, h1, m, pop)``, written; ``h0`` null for null and empty texts, ``pop`` null without words."""
     flat = keyed(docs)
     i, t = f"_{place(docs, 'doc_id')}", f"_{place(docs, 'text')}"
 
@@ -78,14 +92,15 @@ def fingerprint_table(docs: DataFrame) -> DataFrame:
             col = Column(batch.column(3))
             h0 = np.zeros(len(col), np.uint64)
             h1 = np.zeros(len(col), np.uint64)
+            m = np.zeros(len(col), np.uint64)
             some = np.zeros(len(col), bool)
             for lo, hi, data, off in col.chunks():
-                h0[lo:hi], h1[lo:hi], some[lo:hi] = fingerprints(data, off)
+                h0[lo:hi], h1[lo:hi], m[lo:hi], some[lo:hi] = fingerprints(data, off)
             none = np.diff(col.offsets) == 0
             pop = np.bitwise_count(h0).astype(np.int32) + np.bitwise_count(h1)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(h0.view(np.int64), mask=none), pa.array(h1.view(np.int64), mask=none), pa.array(pop.astype(np.int32), mask=~some)],
-                ["doc_id", "k1", "k2", "h0", "h1", "pop"],
+                [*batch.columns[:3], pa.array(h0.view(np.int64), mask=none), pa.array(h1.view(np.int64), mask=none), pa.array(m.view(np.int64)), pa.array(pop.astype(np.int32), mask=~some)],
+                ["doc_id", "k1", "k2", "h0", "h1", "m", "pop"],
             )
 
     cols = flat.select(F.col(i).alias("doc_id"), "k1", "k2", F.col(t).alias("text"))
@@ -93,15 +108,15 @@ def fingerprint_table(docs: DataFrame) -> DataFrame:
 
 
 def compare(left: tuple, right: tuple | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions ``(i, j)`` of all pairs within the radius; sides are (h0, h1, pop), each in order of pop.
+    """Positions ``(i, j)`` of all linked pairs; sides are (h0, h1, m, pop), each in order of pop.
 
     ``right`` None: pairs within the left side. Blocks too far apart in population count are skipped.
     """
     same = right is None
     right = left if same else right
     found_i, found_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    a0, a1, ap = left
-    b0, b1, bp = right
+    a0, a1, am, ap = left
+    b0, b1, bm, bp = right
     for j in range(0, len(b0), BLOCK):
         w0, w1, wp = b0[j : j + BLOCK], b1[j : j + BLOCK], bp[j : j + BLOCK]
         for i in range(0, min(len(a0), j + BLOCK) if same else len(a0), _STRIP):
@@ -115,6 +130,8 @@ def compare(left: tuple, right: tuple | None, radius: int) -> tuple[np.ndarray,
             x, y = np.divmod(at, len(w0))
             ok = d.ravel()[at].astype(np.int64) + np.bitwise_count(a1[i + x] ^ w1[y]) <= radius
             x, y = x[ok] + i, y[ok] + j
+            ok = np.bitwise_count(am[x] ^ bm[y]) <= SKETCH
+            x, y = x[ok], y[ok]
             if same:
                 x, y = x[x < y], y[x < y]
             found_i.append(x)
@@ -123,7 +140,7 @@ def compare(left: tuple, right: tuple | None, radius: int) -> tuple[np.ndarray,
 
 
 def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """Links ``(a, b)`` that span every group of ``distinct(node, h0, h1, pop)`` within the radius."""
+    """Links ``(a, b)`` that span every group of ``distinct(node, h0, h1, m, pop)``."""
     spark = distinct.sparkSession
     n_of = {r["pop"]: r["n"] for r in distinct.groupBy("pop").agg(F.count("*").alias("n")).collect()}
     if not n_of:
@@ -137,7 +154,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
             range_of[k] = (min(lo, p), max(hi, p))
     counts = spark.createDataFrame([(p, before[p], n_of[p]) for p in n_of], "pop int, before bigint, n bigint")
     spot = F.col("before") + F.pmod(F.xxhash64("node"), F.col("n"))
-    tiled = distinct.join(F.broadcast(counts), "pop").select((spot / F.lit(tile)).cast("bigint").alias("t"), "node", "h0", "h1", "pop")
+    tiled = distinct.join(F.broadcast(counts), "pop").select((spot / F.lit(tile)).cast("bigint").alias("t"), "node", "h0", "h1", "m", "pop")
     tiles = spark.createDataFrame([(k, lo, hi) for k, (lo, hi) in range_of.items()], "t bigint, lo int, hi int")
     other = tiles.select(F.col("t").alias("u"), F.col("lo").alias("ulo"), F.col("hi").alias("uhi"))
     near = (F.col("ulo") - F.col("hi") <= radius) & (F.col("lo") - F.col("uhi") <= radius)
@@ -150,7 +167,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
         pdf = pdf.sort_values("pop", kind="stable")
         node = pdf["node"].to_numpy()
         sides = (pdf["s"] == key[0]).to_numpy()
-        cols = [pdf["h0"].to_numpy().view(np.uint64), pdf["h1"].to_numpy().view(np.uint64), pdf["pop"].to_numpy()]
+        cols = [*(pdf[c].to_numpy().view(np.uint64) for c in ("h0", "h1", "m")), pdf["pop"].to_numpy()]
         left = tuple(c[sides] for c in cols)
         if key[0] == key[1]:
             i, j = compare(left, None, radius)
@@ -170,7 +187,7 @@ def group_table(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> Data
     """``(doc_id, k1, k2, group_key)`` for every row of ``docs``, written."""
     table = fingerprint_table(docs)
     some = table.filter("h0 is not null")
-    distinct = cut(some.groupBy("h0", "h1").agg(F.max("pop").alias("pop")).withColumn("node", F.monotonically_increasing_id()))
+    distinct = cut(some.groupBy("h0", "h1").agg(F.max("pop").alias("pop"), F.min("m").alias("m")).withColumn("node", F.monotonically_increasing_id()))
     edges = links(distinct.filter("pop is not null"), radius, tile)
     roots = components(edges)
     node = distinct.select("h0", "h1", "node").join(roots, "node", "left").select("h0", "h1", F.coalesce("root", "node").alias("group_key"))

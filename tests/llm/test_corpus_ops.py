@@ -278,7 +278,8 @@ def test_near_duplicates_against_brute_force(spark):
     t = simhash.fingerprint_table(docs).toPandas()
     h = [t[c].to_numpy().astype("i8").view("u8") for c in ("h0", "h1")]
     d = sum(np.bitwise_count(x[:, None] ^ x[None, :]).astype(int) for x in h)
-    root = forest(len(t), *np.nonzero(d <= simhash.RADIUS))
+    m = t["m"].to_numpy().astype("i8").view("u8")
+    root = forest(len(t), *np.nonzero((d <= simhash.RADIUS) & (np.bitwise_count(m[:, None] ^ m[None, :]) <= simhash.SKETCH)))
     groups = {}
     for i, r in zip(t.doc_id, root):
         groups.setdefault(r, []).append(i)

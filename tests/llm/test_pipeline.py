@@ -24,7 +24,8 @@ def test_stages(spark, small):
     one = simhash.fingerprint_table(seen["near-duplicate documents"][1]).filter("pop is not null").toPandas()
     h = [one[c].to_numpy().astype("i8").view("u8") for c in ("h0", "h1")]
     d = sum(np.bitwise_count(x[:, None] ^ x[None, :]).astype(int) for x in h)
-    assert (d <= simhash.RADIUS).sum() == len(one)
+    m = one["m"].to_numpy().astype("i8").view("u8")
+    assert ((d <= simhash.RADIUS) & (np.bitwise_count(m[:, None] ^ m[None, :]) <= simhash.SKETCH)).sum() == len(one)
     mixed = seen["mixing sources"]
     want = source_mix.mix_sources(mixed[0]).count()
     assert mixed[1].count() == want
