@@ -75,22 +75,33 @@ def fit_window(t_max: Column, start: float | None = None, end: float | None = No
     return lo, F.when(hi > lo, hi).otherwise(F.raise_error(F.lit("the fit window is empty")))
 
 
-def onsager(atoms: DataFrame, temperature: float, mean_volume: float, dt_ps: float, fraction: float = 0.5, stride: int = 1, origin_stride: int = 1, start: float | None = None, end: float | None = None) -> DataFrame:
-    """``(run, species_a, species_b, l, r2, l_self, d_self, r2_self, factor)``; the self columns on the diagonal only."""
+def onsager(atoms: DataFrame, temperature: float, mean_volume: float, dt_ps: float, **options) -> DataFrame:
+    """``onsager_by_run`` with one state for all runs."""
+    state = {"temperature": F.lit(float(temperature)), "volume": F.lit(float(mean_volume)), "dt_ps": F.lit(float(dt_ps))}
+    return onsager_by_run(atoms, atoms.select("run").distinct().withColumns(state), **options)
+
+
+def onsager_by_run(atoms: DataFrame, runs: DataFrame, fraction: float = 0.5, stride: int = 1, origin_stride: int = 1, start: float | None = None, end: float | None = None) -> DataFrame:
+    """``(run, species_a, species_b, l, r2, l_self, d_self, r2_self, factor)`` in the centre-of-mass frame.
+
+    ``runs(run, temperature, volume, dt_ps)``. The self columns are on the diagonal only.
+    """
     rows = centered(atoms)
     lags = lag_table(rows, fraction, stride)
-    t_max = lags.groupBy("run").agg(F.max(F.col("lag") * dt_ps).alias("t_max"))
+    state = runs.join(lags.groupBy("run").agg(F.max("lag").alias("m")), "run").withColumn("t_max", F.col("m") * F.col("dt_ps"))
     lo, hi = fit_window(F.col("t_max"), start, end)
 
     def fitted(corr: DataFrame, keys: list[str]) -> DataFrame:
-        timed = corr.withColumn("t", F.col("lag") * dt_ps).join(t_max, "run").filter((F.col("t") >= lo) & (F.col("t") <= hi))
+        timed = corr.join(state, "run").withColumn("t", F.col("lag") * F.col("dt_ps")).filter((F.col("t") >= lo) & (F.col("t") <= hi))
         return slope_fit(timed, ["run", *keys], "t", "c")
 
-    volume = mean_volume * A3_TO_CM3
-    scale = A2_PS_TO_CM2_S / (6 * KB * temperature * volume)
-    full = fitted(correlations(rows, lags, origin_stride), ["species_a", "species_b"]).withColumn("l", F.col("slope") * scale).drop("slope")
+    volume = F.col("volume") * A3_TO_CM3
+    kt = F.lit(KB) * F.col("temperature")
+    scale = F.lit(A2_PS_TO_CM2_S) / (6 * kt * volume)
+    full = fitted(correlations(rows, lags, origin_stride), ["species_a", "species_b"]).join(runs, "run")
+    full = full.select("run", "species_a", "species_b", (F.col("slope") * scale).alias("l"), "r2")
     number = rows.groupBy("run", "species").agg(F.count_distinct("atom_id").alias("n"))
-    own = fitted(self_correlations(rows, lags, origin_stride), ["species"]).join(number, ["run", "species"])
-    own = own.select("run", F.col("species").alias("species_a"), F.col("species").alias("species_b"), (F.col("slope") * scale).alias("l_self"), (F.col("slope") * scale * (KB * temperature) / (F.col("n") / volume)).alias("d_self"), F.col("r2").alias("r2_self"))
+    own = fitted(self_correlations(rows, lags, origin_stride), ["species"]).join(number, ["run", "species"]).join(runs, "run")
+    own = own.select("run", F.col("species").alias("species_a"), F.col("species").alias("species_b"), (F.col("slope") * scale).alias("l_self"), (F.col("slope") * scale * kt / (F.col("n") / volume)).alias("d_self"), F.col("r2").alias("r2_self"))
     out = full.join(own, ["run", "species_a", "species_b"], "left")
     return out.withColumn("factor", F.when(F.col("l_self") != 0, F.col("l") / F.col("l_self") - 1)).select("run", "species_a", "species_b", "l", "r2", "l_self", "d_self", "r2_self", "factor")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import KB, PLANCK
@@ -44,29 +44,39 @@ def total_spectrum(vdos: DataFrame, n_atoms: DataFrame) -> DataFrame:
     return vdos.join(n_atoms, "run").withColumn("vdos", F.col("vdos") * 3 * F.col("n")).drop("n")
 
 
-def vibrational_thermo(vdos: DataFrame, temperature: float) -> DataFrame:
-    """Harmonic F, U and S of each run from ``(run, e_ev, vdos)``, with both forms of F and the identity's residue."""
-    if temperature <= 0:
-        raise ValueError("the temperature must be positive")
-    kt = KB * temperature
+def _thermo(vdos: DataFrame, temperature: Column) -> DataFrame:
+    kt = F.lit(KB) * temperature
     e = F.greatest(F.col("e_ev"), F.lit(1e-12))
     x = F.least(F.greatest(e / kt, F.lit(1e-12)), F.lit(1e3))
     log_term = F.ln(-F.expm1(-x))
     bose = 1 / F.expm1(x)
     g = F.col("vdos")
-    out = trapezoid(
+    # ln(2 sinh(x/2)) in a form that doesn't overflow
+    return trapezoid(
         vdos,
         ["run"],
         "e_ev",
         {
             "integral_g": g,
-            "i_ln2sinh": F.ln(2 * F.sinh(0.5 * x)) * g,
+            "i_ln2sinh": (x / 2 + log_term) * g,
             "f_ev": (0.5 * e + kt * log_term) * g,
             "u_ev": (0.5 * e + e * bose) * g,
             "s_ev_k": KB * (x * bose - log_term) * g,
         },
     )
+
+
+def vibrational_thermo(vdos: DataFrame, temperature: float) -> DataFrame:
+    """Harmonic F, U and S of each run from ``(run, e_ev, vdos)``, with both forms of F and the identity's residue."""
+    if temperature <= 0:
+        raise ValueError("the temperature must be positive")
+    out = _thermo(vdos, F.lit(float(temperature)))
     return out.select(
-        "run", "integral_g", "i_ln2sinh", (F.col("i_ln2sinh") * kt).alias("f_via_sinh_ev"), "f_ev", "u_ev", "s_ev_k",
+        "run", "integral_g", "i_ln2sinh", (F.col("i_ln2sinh") * (KB * temperature)).alias("f_via_sinh_ev"), "f_ev", "u_ev", "s_ev_k",
         (F.col("s_ev_k") / KB).alias("s_kb"), (F.col("s_ev_k") - (F.col("u_ev") - F.col("f_ev")) / temperature).alias("consistency"),
     )
+
+
+def entropy_by_run(vdos: DataFrame) -> DataFrame:
+    """``(run, s_ev_k)`` from ``(run, e_ev, vdos, temperature)``; runs that aren't above 0 K are absent."""
+    return _thermo(vdos.filter("temperature > 0"), F.col("temperature")).select("run", "s_ev_k")
