@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from orbitlake.llm import language_id, line_dedup, packing, simhash, source_mix
 from orbitlake.llm.common import mark, positional, release, scratch_path
+from orbitlake.session import reach_workers
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +51,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``; each result is written to the shared folder before the next begins."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = reach_workers(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         path, since = scratch_path(spark), mark(spark)
         stage(spark, docs, sf_dir).write.parquet(path)
