@@ -46,8 +46,8 @@ def run_temperature(path: Column) -> Column:
 
 def run_folders(root: str) -> list[tuple[float, str]]:
     """``(temperature, path)`` of the run folders below ``root``, by temperature."""
-    found = [(re.fullmatch(r"(\d+(?:\.\d+)?)_dir", d.name), d.path) for d in os.scandir(root) if d.is_dir()]
-    return sorted((float(m[1]), p) for m, p in found if m)
+    named = [(d.name.removesuffix("_dir"), d) for d in os.scandir(root) if d.is_dir() and d.name.endswith("_dir")]
+    return sorted((float(t), d.path) for t, d in named if t.replace(".", "", 1).isdecimal() and t[0] != "." and t[-1] != ".")
 
 
 def target_folders(root: str) -> list[str]:
