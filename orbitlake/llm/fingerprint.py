@@ -75,11 +75,10 @@ class Prefixes:
         total = self.sums[which]
         return (total[at + length] - total[at]) % np.uint64(PRIMES[which])
 
-    def whole(self, length: np.ndarray | None = None) -> np.ndarray:
-        """62-bit fingerprint of the first ``length`` characters of each row (default: all)."""
+    def whole(self) -> np.ndarray:
+        """62-bit fingerprint of each row."""
         row = np.arange(len(self.size))
-        length = self.size if length is None else np.minimum(length, self.size)
-        a, b = (self.span(k, row, np.zeros_like(row), length) for k in (0, 1))
+        a, b = (self.span(k, row, np.zeros_like(row), self.size) for k in (0, 1))
         return (a << np.uint64(31) | b).view(np.int64)
 
 
