@@ -80,3 +80,8 @@ def lists_by(df: DataFrame, key: str, order: str, values: list[str]) -> DataFram
     """Parallel arrays of each group in order."""
     rows = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, *values))).alias("_r"))
     return rows.select(key, *[F.col(f"_r.{c}").alias(c) for c in (order, *values)])
+
+
+def bounded_max(df: DataFrame, by: list[str], x: str, y: str, limit: float, factor: float = 1.06) -> DataFrame:
+    """The largest finite ``y`` up to ``x`` = ``limit``, times a margin factor."""
+    return df.filter((F.col(x) <= limit) & finite(F.col(y))).groupBy(*by).agg((F.max(y) * factor).alias("top"))

@@ -261,6 +261,11 @@ def _lists(spark, d):
     return out.select("c_nationkey", F.to_json("c_custkey").alias("keys"))
 
 
+@_query("bounded_max", "SELECT l_suppkey, round(max(l_extendedprice) * 1.06::DOUBLE, 6) AS top FROM lineitem WHERE l_quantity <= 25 GROUP BY 1")
+def _bounded(spark, d):
+    return _round(tables.bounded_max(_t(spark, d, "lineitem"), ["l_suppkey"], "l_quantity", "l_extendedprice", 25.0), 6, "top")
+
+
 @_query("stress_pressure", f"SELECT vec_id, round(-(embedding[1]::DOUBLE + embedding[2]::DOUBLE + embedding[3]::DOUBLE) / 3 * {EV_A3_TO_GPA!r}::DOUBLE, 6) + 0.0::DOUBLE AS p_gpa FROM embeddings")
 def _stress(spark, d):
     return _round(_t(spark, d, "embeddings").select("vec_id", P.pressure_gpa(F.col("embedding").cast("array<double>")).alias("p_gpa")), 6, "p_gpa")

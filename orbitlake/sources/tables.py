@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import re
 from collections.abc import Iterator
@@ -141,3 +142,35 @@ def parse_poscar(text: str) -> dict:
     mode = lines[at].strip()[:1].lower()
     rows = [[float(x) for x in line.split()[:3]] for line in lines[at + 1 : at + 1 + sum(counts)]]
     return {"comment": lines[0].strip(), "lattice": lattice, "species": species, "counts": counts, "cartesian": mode in ("c", "k"), "positions": rows}
+
+
+def parse_cif(text: str) -> dict:
+    """Cell lengths and angles, lattice rows, and the species and fractional positions of the listed atom sites.
+
+    Symmetry is not applied: sites are those the file lists.
+    """
+    scalar = {m[1].lower(): float(m[2]) for m in re.finditer(r"^\s*_cell_(length_[abc]|angle_\w+)\s+([-+.\dEe]+)", text, re.M | re.I)}
+    lengths = [scalar[f"length_{c}"] for c in "abc"]
+    angles = [scalar.get(f"angle_{n}", 90.0) for n in ("alpha", "beta", "gamma")]
+    ca, cb, cg = (math.cos(math.radians(x)) for x in angles)
+    sg = math.sin(math.radians(angles[2]))
+    cx, cy = cb, (ca - cb * cg) / sg
+    lattice = [[lengths[0], 0.0, 0.0], [lengths[1] * cg, lengths[1] * sg, 0.0], [lengths[2] * cx, lengths[2] * cy, lengths[2] * math.sqrt(max(1 - cx * cx - cy * cy, 0.0))]]
+    names: list[str] = []
+    sites = []
+    for line in (raw.strip() for raw in text.splitlines()):
+        if line.lower() == "loop_":
+            names = []
+        elif line.startswith("_"):
+            names = [*names, line.split()[0].lower()]
+        elif "_atom_site_fract_x" in names and line and not line.startswith("#"):
+            row = dict(zip(names, line.split(), strict=False))
+            symbol = row.get("_atom_site_type_symbol") or row.get("_atom_site_label", "")
+            sites.append((re.match("[A-Za-z]*", symbol)[0], [float(row[f"_atom_site_fract_{c}"].partition("(")[0]) for c in "xyz"]))
+    return {"lengths": lengths, "angles": angles, "lattice": lattice, "species": [n for n, _ in sites], "positions": [x for _, x in sites]}
+
+
+def species_counts(structures: DataFrame, key: str = "struct_id") -> DataFrame:
+    """``(key, species, n, first)`` from an array column ``species``; ``first`` is the place of its first atom."""
+    each = structures.select(key, F.posexplode("species").alias("i", "species"))
+    return each.groupBy(key, "species").agg(F.count("*").alias("n"), F.min("i").alias("first"))

@@ -192,3 +192,12 @@ def test_trajectory_chain(spark, run_dir):
     p[1:-1] *= 2
     e = 4.135667696e-15 * np.fft.rfftfreq(steps, 1e-15)
     assert np.allclose([r.vdos for r in g], p / np.trapezoid(p, e)) and np.allclose([r.e_ev for r in g], e)
+
+
+def test_cif_and_counts(spark):
+    text = "data_x\n_cell_length_a 2.0\n_cell_length_b 3.0\n_cell_length_c 4.0\n_cell_angle_alpha 90\n_cell_angle_beta 90\n_cell_angle_gamma 120\nloop_\n_symmetry_equiv_pos_as_xyz\nx,y,z\nloop_\n_atom_site_label\n_atom_site_fract_x\n_atom_site_fract_y\n_atom_site_fract_z\nFe1 0.0 0.0 0.0(2)\nB2 0.5 0.5 0.5\n"
+    c = tables.parse_cif(text)
+    assert c["species"] == ["Fe", "B"] and c["positions"][1] == [0.5] * 3
+    assert np.allclose(c["lattice"], [[2, 0, 0], [-1.5, 3 * np.sqrt(0.75), 0], [0, 0, 4]])
+    df = spark.createDataFrame([(1, ["B", "Fe", "B"])], "struct_id int, species array<string>")
+    assert sorted((r.species, r.n, r["first"]) for r in tables.species_counts(df).collect()) == [("B", 2, 0), ("Fe", 1, 1)]
