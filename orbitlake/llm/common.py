@@ -36,7 +36,10 @@ def scratch_root(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
-    path = f"{scratch_root(spark)}/orbitlake/{app}/{uuid.uuid4().hex}"
+    folder = f"{scratch_root(spark)}/orbitlake/{app}"
+    if app not in _made and urlparse(folder).scheme in ("", "file"):  # nothing can read them once the driver has ended
+        atexit.register(shutil.rmtree, urlparse(folder).path, ignore_errors=True)
+    path = f"{folder}/{uuid.uuid4().hex}"
     _made.setdefault(app, []).append(path)
     return path
 
