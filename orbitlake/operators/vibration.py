@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,20 +17,30 @@ from .series import trapezoid
 def spectrum(atoms: DataFrame, dt_s: float, hann: bool = True) -> DataFrame:
     """``(run, bin, e_ev, vdos)`` of unit area from ``atoms(run, frame_idx, atom_id, mass, vx, vy, vz)``.
 
-    Each particle's series is transformed in one grouped kernel; averages, one-sided scaling
+    Series are gathered by particle and transformed in batches; averages, one-sided scaling
     and normalisation are relational. A run's particles must cover the same frames.
     """
-    kind = {c: atoms.schema[c].dataType.simpleString() for c in ("run", "atom_id")}
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        v = pdf.sort_values("frame_idx", kind="stable")[["vx", "vy", "vz"]].to_numpy(float)
-        n = len(v)
-        if hann:
-            v = v * np.hanning(n)[:, None]
-        p = (np.abs(np.fft.rfft(v, axis=0)) ** 2).sum(1) * float(pdf["mass"].iloc[0])
-        return pd.DataFrame({"run": key[0], "atom_id": key[1], "bin": np.arange(len(p)), "p": p, "n": n})
-
-    power = atoms.groupBy("run", "atom_id").applyInPandas(run, f"run {kind['run']}, atom_id {kind['atom_id']}, bin int, p double, n int")
+    kind = atoms.schema["run"].dataType.simpleString()
+    step = F.array_sort(F.collect_list(F.struct("frame_idx", *[F.col(c).cast("double").alias(c) for c in ("vx", "vy", "vz")])))
+    series = atoms.groupBy("run", "atom_id").agg(F.first(F.col("mass").cast("double")).alias("mass"), step.alias("s"))
+    series = series.select("run", "mass", *[F.col(f"s.{c}").alias(c) for c in ("vx", "vy", "vz")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.asarray(pc.list_value_length(batch.column(2)))
+            for n in np.unique(sizes).tolist():
+                part = batch.filter(pa.array(sizes == n))
+                w = np.hanning(n) if hann else np.ones(n)
+                power = np.zeros((part.num_rows, n // 2 + 1))
+                for c in (2, 3, 4):
+                    v = part.column(c).flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+                    power += np.abs(np.fft.rfft(v * w, axis=1)) ** 2
+                power *= part.column(1).to_numpy(zero_copy_only=False)[:, None]
+                row = np.repeat(np.arange(part.num_rows), power.shape[1])
+                bins = np.tile(np.arange(power.shape[1], dtype=np.int32), part.num_rows)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(bins), pa.array(power.ravel()), pa.array(np.full(len(row), n, np.int32))], ["run", "bin", "p", "n"])
+
+    power = series.mapInArrow(run, f"run {kind}, bin int, p double, n int")
     mean = power.groupBy("run", "bin").agg(F.avg("p").alias("p"), F.first("n").alias("n"))
     last = F.floor(F.col("n") / 2)
     inner = (F.col("bin") > 0) & ((F.col("n") % 2 == 1) | (F.col("bin") < last))
