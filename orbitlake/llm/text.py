@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 1 << 19
+CHUNK_ROWS = 1 << 12
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
@@ -52,12 +53,12 @@ class Column:
     def __len__(self) -> int:
         return len(self.valid)
 
-    def chunks(self, max_bytes: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """Runs of whole rows ``(lo, hi, bytes, offsets)`` of at most ``max_bytes`` (or one row)."""
+    def chunks(self, max_bytes: int = CHUNK_BYTES, max_rows: int = CHUNK_ROWS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """Runs of whole rows ``(lo, hi, bytes, offsets)`` of at most ``max_bytes`` (or one row) and ``max_rows``."""
         n, off, lo = len(self), self.offsets, 0
         while lo < n:
             hi = int(np.searchsorted(off, off[lo] + max_bytes, side="right")) - 1
-            hi = min(max(hi, lo + 1), n)
+            hi = min(max(hi, lo + 1), lo + max_rows, n)
             yield lo, hi, self.data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
             lo = hi
 
