@@ -159,6 +159,28 @@ def test_language_held_out(spark):
     assert [r.predicted for r in language_id.identify(test.limit(3), language_id.fit(junk.withColumn("lang", F.lit(None).cast("string")))).collect()] == [None] * 3
 
 
+@pytest.mark.parametrize("words", [200, 1_000, 5_000])
+def test_language_rejects_junk_of_any_length(spark, words):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.fit(docs)
+    rng = np.random.default_rng(words)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    junk = docs_of(spark, [(k, " ".join("".join(rng.choice(letters, n)) for n in rng.integers(2, 11, words)), "en", "s") for k in range(10)])
+    assert [r.doc_id for r in language_id.identify(junk, model).collect() if r.predicted] == []
+    assert language_id.keep_identified(junk, model).count() == 0
+
+
+def test_language_keeps_short_and_repetitive_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.fit(docs.filter("doc_id % 2 = 0"))
+    held = [(r.doc_id, " ".join([w for w in r.text.split() if w.strip(".,").isalpha()][:8]), r.lang, "s") for r in docs.filter("doc_id % 2 = 1").collect()]
+    short = docs_of(spark, [r for r in held if len(r[1]) > 25])
+    got = language_id.identify(short, model).join(short.select("doc_id", "lang"), "doc_id").collect()
+    assert len(got) > 300 and sum(r.predicted is None for r in got) <= 0.01 * len(got) and sum(r.predicted == r.lang for r in got) >= 0.95 * len(got)
+    again = docs_of(spark, [(1, "Eran. " * 2_000, "en", "s"), (2, "Das " * 2_000, "de", "s"), (3, 'token = "2abc3ff2ca8fb1e4c565a0eb63815530a948bdde" From reha reenti oution thti.', "en", "s")])
+    assert all(r.predicted for r in language_id.identify(again, model).collect())
+
+
 # --- 5 WARC ----------------------------------------------------------------
 
 
