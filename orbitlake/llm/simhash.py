@@ -2,11 +2,13 @@
 
 Features are pairs of neighbouring folded words (the word itself in a text of one word),
 each counted as often as it occurs, hashed to 128 bits; the fingerprint holds the sign of
-each bit's sum. Documents whose fingerprints differ in at most ``RADIUS`` bits are linked,
-unless a second sketch denies it: 64 one-bit MinHash values of the set of words, which may
-differ in at most ``SKETCH`` bits (half of 1 - Jaccard of them are expected to). It keeps
-apart short texts that share a frequent line, whose few features make the fingerprint
-unsteady. The links' connected components are the groups.
+each bit's sum. Documents whose fingerprints differ in at most ``RADIUS`` bits are linked
+if a second sketch agrees: 64 one-bit MinHash values of the set of words, which may
+differ in at most ``SKETCH`` bits (half of 1 - Jaccard of them are expected to). Pairs for
+which it doesn't are doubtful and are decided by their words: they are linked if the exact
+Jaccard index of their words, as sets or counted as often as they occur, is ``ALIKE`` at
+least. That keeps apart short texts that share a frequent line, whose few features make the
+fingerprint unsteady. The links' connected components are the groups.
 
 All distinct fingerprints are compared: they are laid out in tiles of ``TILE`` rows in
 order of population count; a pair of tiles is skipped when even their nearest population
@@ -14,7 +16,7 @@ counts differ beyond the radius (the count of differing bits can't be less), and
 pairs of the blocks inside tiles. The rest is compared with numpy exclusive-or and bit
 counts: first 64 bits for all pairs, then the other 64 for the pairs still possible. Each
 tile pair hands on a spanning forest of its links, so groups of thousands of copies don't
-give millions of edges.
+give millions of edges, and the doubtful pairs that the forest doesn't join.
 
 Cases: null and empty texts are each a group of their own; texts without any word are
 grouped only if equal; repeated rows are copies; the document kept of a group is that of
@@ -37,6 +39,7 @@ from .text import Column, mix, prefix_hash, slots, span_hash, words
 
 RADIUS = 24
 SKETCH = 12
+ALIKE = 0.5
 TILE = 16_384
 BLOCK = 2_048
 _STRIP = 64
@@ -107,14 +110,14 @@ def fingerprint_table(docs: DataFrame) -> DataFrame:
     return cut(cols.mapInArrow(run, f"doc_id {kind(docs, 'doc_id')}, {_SCHEMA}"))
 
 
-def compare(left: tuple, right: tuple | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions ``(i, j)`` of all linked pairs; sides are (h0, h1, m, pop), each in order of pop.
+def compare(left: tuple, right: tuple | None, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions ``(i, j)`` of all pairs within the radius, and whether the sketch agrees; sides are (h0, h1, m, pop), each in order of pop.
 
     ``right`` None: pairs within the left side. Blocks too far apart in population count are skipped.
     """
     same = right is None
     right = left if same else right
-    found_i, found_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    found_i, found_j, found_s = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
     a0, a1, am, ap = left
     b0, b1, bm, bp = right
     for j in range(0, len(b0), BLOCK):
@@ -130,21 +133,20 @@ def compare(left: tuple, right: tuple | None, radius: int) -> tuple[np.ndarray,
             x, y = np.divmod(at, len(w0))
             ok = d.ravel()[at].astype(np.int64) + np.bitwise_count(a1[i + x] ^ w1[y]) <= radius
             x, y = x[ok] + i, y[ok] + j
-            ok = np.bitwise_count(am[x] ^ bm[y]) <= SKETCH
-            x, y = x[ok], y[ok]
             if same:
                 x, y = x[x < y], y[x < y]
             found_i.append(x)
             found_j.append(y)
-    return np.concatenate(found_i), np.concatenate(found_j)
+            found_s.append(np.bitwise_count(am[x] ^ bm[y]) <= SKETCH)
+    return np.concatenate(found_i), np.concatenate(found_j), np.concatenate(found_s)
 
 
 def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """Links ``(a, b)`` that span every group of ``distinct(node, h0, h1, m, pop)``."""
+    """Pairs ``(a, b, sure)`` that span every group of ``distinct(node, h0, h1, m, pop)``, once those that aren't sure are decided."""
     spark = distinct.sparkSession
     n_of = {r["pop"]: r["n"] for r in distinct.groupBy("pop").agg(F.count("*").alias("n")).collect()}
     if not n_of:
-        return spark.createDataFrame([], "a bigint, b bigint")
+        return spark.createDataFrame([], "a bigint, b bigint, sure boolean")
     before, total, range_of = {}, 0, {}
     for p in sorted(n_of):
         before[p] = total
@@ -170,25 +172,67 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
         cols = [*(pdf[c].to_numpy().view(np.uint64) for c in ("h0", "h1", "m")), pdf["pop"].to_numpy()]
         left = tuple(c[sides] for c in cols)
         if key[0] == key[1]:
-            i, j = compare(left, None, radius)
+            i, j, sure = compare(left, None, radius)
             order = node
         else:
-            i, j = compare(left, tuple(c[~sides] for c in cols), radius)
+            i, j, sure = compare(left, tuple(c[~sides] for c in cols), radius)
             j = j + len(left[0])
             order = np.concatenate([node[sides], node[~sides]])
-        root = forest(len(order), i, j)
+        root = forest(len(order), i[sure], j[sure])
         moved = np.flatnonzero(root != np.arange(len(order)))
-        return pd.DataFrame({"a": order[moved], "b": order[root[moved]]})
+        open_ = ~sure & (root[i] != root[j])
+        a, b = np.concatenate([moved, i[open_]]), np.concatenate([root[moved], j[open_]])
+        return pd.DataFrame({"a": order[a], "b": order[b], "sure": np.arange(len(a)) < len(moved)})
 
-    return work.repartition(tasks, "t", "u").groupBy("t", "u").applyInPandas(run, "a bigint, b bigint")
+    return work.repartition(tasks, "t", "u").groupBy("t", "u").applyInPandas(run, "a bigint, b bigint, sure boolean")
+
+
+def word_sets(texts: DataFrame) -> DataFrame:
+    """``(node, once, all)`` of ``texts(node, text)``: hashes of the different words, and of every word with the number of its occurrence."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            col = Column(batch.column(1))
+            for lo, hi, data, off in col.chunks():
+                h, count = words(data, off)
+                row = slots(count)
+                order = np.lexsort((h, row))
+                h, row = h[order], row[order]
+                new = np.ones(len(h), bool)
+                new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+                at = np.arange(len(h))
+                nth = at - np.maximum.accumulate(np.where(new, at, 0))
+                lists = []
+                for keys, n in ((h[new], np.bincount(row[new], minlength=hi - lo)), (mix(h + nth.astype(np.uint64) * np.uint64(0x100000001B3)), count)):
+                    lists.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(keys.view(np.int64))))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *lists], ["node", "once", "all"])
+
+    return texts.select("node", "text").mapInArrow(run, "node bigint, once array<bigint>, all array<bigint>")
+
+
+def alike(docs: DataFrame, distinct: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of the doubtful ``pairs(a, b)`` of nodes whose words are alike; a node's words are those of its first document."""
+    need = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    keys = cut(distinct.join(sized(cut(need)), "node").select("node", "k.k1", "k.k2"))
+    flat = keyed(docs).select("k1", "k2", F.col(f"_{place(docs, 'text')}").alias("text"))
+    texts = flat.join(sized(keys), ["k1", "k2"]).dropDuplicates(["node"])
+    sets = cut(word_sets(texts))
+    for side in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("once").alias(f"{side}_once"), F.col("all").alias(f"{side}_all")), side)
+    shared = {c: F.size(F.array_intersect(f"a_{c}", f"b_{c}")) for c in ("once", "all")}
+    close = [shared[c] >= ALIKE * (F.size(f"a_{c}") + F.size(f"b_{c}") - shared[c]) for c in ("once", "all")]
+    return pairs.filter(close[0] | close[1]).select("a", "b")
 
 
 def group_table(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """``(doc_id, k1, k2, group_key)`` for every row of ``docs``, written."""
     table = fingerprint_table(docs)
     some = table.filter("h0 is not null")
-    distinct = cut(some.groupBy("h0", "h1").agg(F.max("pop").alias("pop"), F.min("m").alias("m")).withColumn("node", F.monotonically_increasing_id()))
-    edges = links(distinct.filter("pop is not null"), radius, tile)
+    distinct = cut(some.groupBy("h0", "h1").agg(F.max("pop").alias("pop"), F.min("m").alias("m"), F.min(F.struct("k1", "k2")).alias("k")).withColumn("node", F.monotonically_increasing_id()))
+    pairs = cut(links(distinct.filter("pop is not null"), radius, tile))
+    edges, doubtful = pairs.filter("sure").select("a", "b"), pairs.filter("not sure").select("a", "b")
+    if doubtful.limit(1).count():
+        edges = edges.unionByName(alike(docs, distinct, doubtful))
     roots = components(edges)
     node = distinct.select("h0", "h1", "node").join(roots, "node", "left").select("h0", "h1", F.coalesce("root", "node").alias("group_key"))
     grouped = some.join(node, ["h0", "h1"]).select("doc_id", "k1", "k2", "group_key")

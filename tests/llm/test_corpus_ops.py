@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -311,6 +312,33 @@ def test_near_duplicates_against_brute_force(spark):
         assert {r.doc_id: r.group_id for r in got} == want and all(r.kept == (r.doc_id == r.group_id) for r in got)
 
 
+def test_pairs_that_the_sketch_denies(spark):
+    """Expected groups from bit differences and word counts in plain Python: no sketch."""
+    rng = np.random.default_rng(80)
+    vocabulary = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(3000)]
+    texts = []
+    for _ in range(40):  # a long repetitive text and its copy with a short tail of new words
+        line = " ".join(rng.choice(vocabulary, 8))
+        texts += [" ".join([line] * 60), " ".join([line] * 60) + " " + " ".join(rng.choice(vocabulary, 20))]
+    for _ in range(150):  # one long text, whose copy has many words changed
+        body = list(rng.choice(vocabulary, 40)) * 4
+        texts += [" ".join(body), " ".join(body + list(rng.choice(vocabulary, 20)))]
+    line = " ".join(rng.choice(vocabulary, 8))
+    texts += [line + " " + " ".join(rng.choice(vocabulary, 12)) for _ in range(60)]  # short, with a line in common
+    docs = docs_of(spark, [(k, t, "en", "s") for k, t in enumerate(texts)])
+    t = simhash.fingerprint_table(docs).toPandas().sort_values("doc_id")
+    h = [t[c].to_numpy().astype("i8").view("u8") for c in ("h0", "h1")]
+    d = sum(np.bitwise_count(x[:, None] ^ x[None, :]).astype(int) for x in h)
+    sets, bags = [set(x.split()) for x in texts], [Counter(x.split()) for x in texts]
+    a, b = np.nonzero(np.triu(d <= simhash.RADIUS, 1))
+    near = [len(sets[i] & sets[j]) >= 0.5 * len(sets[i] | sets[j]) or (bags[i] & bags[j]).total() >= 0.5 * (bags[i] | bags[j]).total() for i, j in zip(a, b)]
+    m = t["m"].to_numpy().astype("i8").view("u8")
+    assert (np.bitwise_count(m[a] ^ m[b]) > simhash.SKETCH)[near].any()
+    root = forest(len(texts), a[near], b[near])
+    for tile in (32, simhash.TILE):
+        assert {r.doc_id: r.group_id for r in simhash.near_duplicates(docs, tile=tile).collect()} == dict(enumerate(root))
+
+
 def test_near_copies_found_and_clean_kept(spark):
     rng = np.random.default_rng(8)
     vocabulary = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(3000)]
