@@ -178,7 +178,7 @@ def test_language_keeps_short_and_repetitive_texts(spark):
     short = docs_of(spark, [r for r in held if len(r[1]) > 25])
     got = language_id.identify(short, model).join(short.select("doc_id", "lang"), "doc_id").collect()
     assert len(got) > 300 and sum(r.predicted is None for r in got) <= 0.01 * len(got) and sum(r.predicted == r.lang for r in got) >= 0.95 * len(got)
-    again = docs_of(spark, [(1, "Eran. " * 2_000, "en", "s"), (2, "Das " * 2_000, "de", "s"), (3, 'token = "2abc3ff2ca8fb1e4c565a0eb63815530a948bdde" From reha reenti oution thti.', "en", "s")])
+    again = docs_of(spark, [(1, "Eran. " * 2_000, "en", "s"), (2, "Das " * 2_000, "de", "s"), (3, 'token = "2abc3ff2ca8fb1e4c565a0eb63815530a948bdde" From reha reenti oution thti.', "en", "s"), (4, 'Thingeaor. Ndwhou edwhes token = "9004e046e75240f42eecdbd3dffbc7f3d75db0ff" in erthedble on ingoution thndnt and.', "en", "s")])
     assert all(r.predicted for r in language_id.identify(again, model).collect())
 
 
