@@ -12,8 +12,11 @@ nothing is shuffled.
 One row per match: ``(doc_id, rule, start, n_chars, secret_sha256)``, ``start`` counted in
 characters from 0. The secret itself isn't copied.
 
-Cases: null and empty texts have no match; repeated rows are reported each; matches of one
-rule don't overlap, matches of several rules may; an empty table gives an empty table.
+Cases: null and empty texts have no match; a null ``doc_id`` is reported as null; repeated
+rows are reported each; matches of one rule don't overlap (the leftmost wins, then the
+first alternative), matches of several rules may; a text longer than a segment is a segment
+of its own and is scanned whole; an empty table gives an empty table; columns other than
+``doc_id`` and ``text`` aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,8 +37,12 @@ from .text import Column, _lower
 
 #: name: (pattern valid for Python and RE2 alike, case-insensitive). Character classes are ASCII.
 RULES: dict[str, tuple[str, bool]] = {
-    "aws_access_key": (r"\bAKIA[0-9A-Z]{16}\b", False),
-    "assigned_token": (r"\b(?:api_key|apikey|secret|token|password|passwd)[ \t]*[:=][ \t]*\"[^\"\n]{8,}\"", True),
+    "aws_access_key": (r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b", False),
+    "assigned_token": (
+        r"(?:api_?key|secret|token|password|passwd)[\"']?[ \t]*[:=][ \t]*"
+        r"(?:\"[^\"\n]{8,}\"|'[^'\n]{8,}'|[A-Za-z_./+-]*[0-9][A-Za-z0-9_./+=-]{7,})",
+        True,
+    ),
     "github_token": (r"\bgh[pousr]_[A-Za-z0-9]{36}\b", False),
     "slack_token": (r"\bxox[baprs]-[A-Za-z0-9-]{10,}", False),
     "google_api_key": (r"\bAIza[0-9A-Za-z_-]{35}", False),

@@ -7,9 +7,10 @@ fraction of the rate.
 
 Cases: a null source is a source of its own; a source without any token (null, empty or
 blank texts) has rate 1; a null ``doc_id`` hashes as the empty string; rows that repeat a
-``doc_id`` get the same number of copies each; an empty table gives an empty table. All
-input columns are kept; ``copy_no`` (1, 2, …) is added last, and an input column of that
-name is replaced.
+``doc_id`` get the same number of copies each (there are no other ties); a text of any
+length counts all its tokens; an empty table gives an empty table. All input columns are
+kept, whatever their names; ``copy_no`` (1, 2, …) is added last, and an input column of
+that name, in whatever case, is replaced.
 """
 
 from __future__ import annotations
@@ -62,16 +63,25 @@ def mix_sources(
     budget: int | None = None,
 ) -> DataFrame:
     """``docs`` repeated to the target weights, with ``copy_no``. ``budget``: tokens wanted, by default those there are."""
-    names = list(docs.columns)
+    names = [n for n in docs.columns if n.lower() != "copy_no"]
+    at = [k for k, n in enumerate(docs.columns) if n.lower() != "copy_no"]
+    return _repeated(docs, weights, other, seed, budget).select(*[f"_{k}" for k in at], "_c").toDF(*names, "copy_no")
+
+
+def repeat_documents(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` repeated as by ``mix_sources``, with just the columns of ``docs``."""
+    return _repeated(docs, **options).select(*[f"_{k}" for k in range(len(docs.columns))]).toDF(*docs.columns)
+
+
+def _repeated(docs: DataFrame, weights: Mapping[str, float] = WEIGHTS, other: float = OTHER, seed: str = SEED, budget: int | None = None) -> DataFrame:
+    """Positional columns and the number of the copy, ``_c``."""
     i, j = place(docs, "source"), place(docs, "doc_id")
     per = sized(cut(rates(docs, weights, other, budget)).select(F.col("source").alias("_s"), F.col("rate").alias("_r")))
     flat = positional(docs)
     joined = flat.join(per, flat[f"_{i}"].cast("string").eqNullSafe(F.col("_s")), "left")
     extra = (uniform(F.col(f"_{j}"), seed) < F.col("_r") - F.floor("_r")).cast("bigint")
     copies = F.floor("_r") + extra
-    out = joined.withColumn("_k", copies).filter("_k > 0").withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("_k").cast("int"))))
-    keep = [k for k, n in enumerate(names) if n != "copy_no"]
-    return out.select(*[F.col(f"_{k}") for k in keep], F.col("_c")).toDF(*[names[k] for k in keep], "copy_no")
+    return joined.withColumn("_k", copies).filter("_k > 0").withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("_k").cast("int"))))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

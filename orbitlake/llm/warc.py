@@ -1,21 +1,28 @@
 """WARC files (operator 5): a sequential reader, and the writer that feeds it.
 
 The reader streams a file once in small pieces: every gzip member is one record and is
-decompressed incrementally; headers end at the first blank line and the block is framed by
-``Content-Length``; SHA-1, SHA-256 or MD5 digests (base 32 or hexadecimal) of the block are
-verified. Memory is bounded by one record. Files are the unit of parallelism.
+decompressed incrementally; headers end at the first blank line, and from there the block
+is framed by ``Content-Length`` and its SHA-1, SHA-256 or MD5 digest (base 32 or
+hexadecimal) is computed piece by piece. Memory is bounded by one record. Files are the
+unit of parallelism.
 
 ``status`` is ``ok``, ``no digest``, ``digest mismatch``, ``bad length`` (the member ends
-before or beyond the framed block), ``bad header`` or ``truncated`` (the file ends inside
-a member, or the member is corrupt; reading that file ends there). A block is returned
-for every status that has one.
+before or beyond the framed block), ``bad header`` or ``truncated`` (the member is corrupt
+or the file ends inside it). After such a member reading goes on at the next gzip member
+that decompresses to a record, so one damaged place costs one record, reported once. A
+block is returned for every status that has one.
 
 The writer puts each partition into one file, one member a record, under a name that
 depends on the partition alone and through a rename, so a task that runs again leaves the
-same file. Cases: a null ``page_id`` or ``url`` leaves its header out and reads back null;
-a null ``html`` is an empty block marked ``X-Null: 1`` and reads back null; line breaks in
-a URL are percent-encoded and decoded back; repeated rows are records each; an empty table
-gives no record.
+same file. Header values are read as they stand. A URL that can't stand in a header as it
+is (line breaks, white space at its ends) is percent-encoded by the writer under the mark
+``X-Escaped: 1``, and only under that mark decoded.
+
+Cases: a null ``page_id`` or ``url`` leaves its header out and reads back null; a null
+``html`` is an empty block marked ``X-Null: 1`` and reads back null; an empty ``html`` is an
+empty block; a very long one is a record like any other; repeated rows are records each (no
+ties arise); an empty table gives no record; columns other than the three aren't read,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +34,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from typing import BinaryIO
-from urllib.parse import urlparse
+from urllib.parse import quote, unquote, urlparse
 
 import pyarrow as pa
 import pyarrow.fs
@@ -54,72 +61,148 @@ def _open(uri: str) -> BinaryIO:
     return open(path, "rb") if fs is None else fs.open_input_stream(path)
 
 
-def digest_ok(block: bytes, stated: str) -> bool:
-    algorithm, _, value = stated.partition(":")
-    algorithm = algorithm.strip().lower().replace("-", "")
-    if algorithm not in ("sha1", "sha256", "md5"):
+class Digest:
+    """A stated digest, verified as the block comes in."""
+
+    def __init__(self, stated: str):
+        algorithm, _, value = stated.partition(":")
+        algorithm = algorithm.strip().lower().replace("-", "")
+        self.value, self.hash = value.strip(), hashlib.new(algorithm) if algorithm in ("sha1", "sha256", "md5") else None
+
+    def ok(self) -> bool:
+        if self.hash is None:
+            return False
+        known = self.hash.digest()
+        return self.value.lower() == known.hex() or self.value.upper().rstrip("=") == base64.b32encode(known).decode().rstrip("=")
+
+
+class Record:
+    """One record, fed with the decompressed pieces of its member."""
+
+    def __init__(self):
+        self.head, self.body, self.framed, self.length, self.headers = b"", [], 0, None, {}
+        self.open, self.excess, self.digest = True, False, None
+
+    def feed(self, piece: bytes) -> None:
+        if self.open:
+            seen = max(len(self.head) - 3, 0)
+            self.head += piece
+            end = self.head.find(b"\r\n\r\n", seen)
+            if end < 0:
+                return
+            self.head, piece = self.head[:end], self.head[end + 4 :]
+            self.open = False
+            self._read_head()
+        if self.length is not None:
+            block, rest = piece[: self.length - self.framed], piece[self.length - self.framed :]
+            if block:
+                self.body.append(block)
+                self.framed += len(block)
+                if self.digest is not None and self.digest.hash is not None:
+                    self.digest.hash.update(block)
+            self.excess |= bool(rest.strip(b"\r\n"))
+
+    def _read_head(self) -> None:
+        first, *lines = self.head.split(b"\r\n")
+        name = ""
+        for line in lines:
+            if line[:1] in (b" ", b"\t") and name:  # a folded value
+                self.headers[name] += " " + line.strip().decode("utf-8", "replace")
+                continue
+            left, _, right = line.partition(b":")
+            name = left.strip().lower().decode("latin-1")
+            self.headers[name] = right.strip().decode("utf-8", "replace")
+        length = self.headers.get("content-length", "")
+        if first.startswith(b"WARC/") and length.isascii() and length.isdigit():
+            self.length = int(length)
+            if "warc-block-digest" in self.headers:
+                self.digest = Digest(self.headers["warc-block-digest"])
+
+    def status(self, complete: bool) -> str:
+        if not complete:
+            return "truncated"
+        if self.length is None:
+            return "bad header"
+        if self.framed < self.length or self.excess:
+            return "bad length"
+        if self.digest is None:
+            return "no digest"
+        return "ok" if self.digest.ok() else "digest mismatch"
+
+    def row(self, complete: bool) -> tuple:
+        h = self.headers
+        page, url = h.get("x-page-id", ""), h.get("warc-target-uri")
+        if url is not None and h.get("x-escaped") == "1":
+            url = unquote(url)
+        html = None if self.length is None or h.get("x-null") == "1" else b"".join(self.body).decode("utf-8", "replace")
+        number = int(page) if page.removeprefix("-").isascii() and page.removeprefix("-").isdigit() else None
+        return number, url, self.length, h.get("warc-block-digest"), self.status(complete), html
+
+
+MAGIC = b"\x1f\x8b\x08"
+#: Compressed bytes that are sure to yield the first bytes of a member.
+_LOOK = 1 << 12
+
+
+def _begins_record(raw: bytes) -> bool:
+    """Does the gzip member at the start of ``raw`` (enough of it) decompress to a record?"""
+    try:
+        return zlib.decompressobj(wbits=31).decompress(raw, 5) == b"WARC/"
+    except zlib.error:
         return False
-    h = hashlib.new(algorithm, block)
-    value = value.strip()
-    return value.lower() == h.hexdigest() or value.upper().rstrip("=") == base64.b32encode(h.digest()).decode().rstrip("=")
 
 
-def members(stream: BinaryIO, size: int = READ_BYTES) -> Iterator[tuple[bytes, bool]]:
-    """(content, complete) of each gzip member, read sequentially."""
-    pending = b""
+def records(stream: BinaryIO, size: int = READ_BYTES) -> Iterator[tuple[Record, bool]]:
+    """(record, complete) of each gzip member, read sequentially.
+
+    ``raw`` holds the compressed bytes since the member's start, for a damaged one to be searched for the next.
+    """
+    raw, ended = b"", False
+
+    def more() -> bytes:
+        nonlocal ended
+        piece = b"" if ended else stream.read(size)
+        ended = not piece
+        return piece
+
     while True:
-        pending = pending or stream.read(size)
-        if not pending:
+        raw = raw or more()
+        if not raw:
             return
-        decoder, out = zlib.decompressobj(wbits=31), []
+        decoder, record, pieces, piece, complete = zlib.decompressobj(wbits=31), Record(), [raw], raw, True
         try:
-            while not decoder.eof:
-                out.append(decoder.decompress(pending))
-                pending = decoder.unused_data if decoder.eof else stream.read(size)
-                if not pending and not decoder.eof:
-                    yield b"".join(out), False
-                    return
+            while True:
+                record.feed(decoder.decompress(piece))
+                if decoder.eof:
+                    break
+                piece = more()
+                if not piece:
+                    complete = False
+                    break
+                pieces.append(piece)
         except zlib.error:
-            yield b"".join(out), False
-            return
-        yield b"".join(out), True
-
-
-def parse(member: bytes, complete: bool) -> dict:
-    """One record: headers by lower-case name, block, status."""
-    head, gap, rest = member.partition(b"\r\n\r\n")
-    lines = head.split(b"\r\n")
-    record: dict = {"headers": {}, "block": None, "length": None, "digest": None}
-    for line in lines[1:]:
-        name, _, value = line.partition(b":")
-        record["headers"][name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
-    h = record["headers"]
-    length = h.get("content-length", "")
-    if not complete:
-        record["status"] = "truncated"
-    if not gap or not lines[0].startswith(b"WARC/") or not length.isdigit():
-        record.setdefault("status", "bad header")
-        return record
-    n = int(length)
-    record |= {"length": n, "block": rest[:n], "digest": h.get("warc-block-digest")}
-    if "status" in record:
-        return record
-    if len(rest) < n or rest[n:].strip(b"\r\n"):
-        record["status"] = "bad length"
-    elif record["digest"] is None:
-        record["status"] = "no digest"
-    else:
-        record["status"] = "ok" if digest_ok(record["block"], record["digest"]) else "digest mismatch"
-    return record
-
-
-def _row(record: dict) -> tuple:
-    h, block = record["headers"], record["block"]
-    page = h.get("x-page-id", "")
-    url = h.get("warc-target-uri")
-    html = None if block is None or h.get("x-null") == "1" else block.decode("utf-8", "replace")
-    url = None if url is None else url.replace("%0A", "\n").replace("%0D", "\r").replace("%20", " ").replace("%25", "%")
-    return int(page) if page.lstrip("-").isdigit() else None, url, record["length"], record["digest"], record["status"], html
+            complete = False
+        yield record, complete
+        if complete:
+            raw = decoder.unused_data
+            continue
+        raw, at = b"".join(pieces), 1
+        while True:  # the next member that is a record, from behind the damaged one's start
+            at = raw.find(MAGIC, at)
+            if at < 0 or len(raw) - at < _LOOK:
+                piece = more()
+                if piece:
+                    if at < 0:
+                        raw, at = raw[-2:] + piece, 0
+                    else:
+                        raw, at = raw[at:] + piece, 0
+                    continue
+                if at < 0:
+                    return
+            if _begins_record(raw[at : at + _LOOK]):
+                raw = raw[at:]
+                break
+            at += 1
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -138,9 +221,9 @@ def read_warc(files: DataFrame) -> DataFrame:
                     continue
                 rows, held = [], 0
                 with _open(path) as stream:
-                    for member, complete in members(stream):
-                        rows.append(_row(parse(member, complete)))
-                        held += len(member)
+                    for record_, complete in records(stream):
+                        rows.append(record_.row(complete))
+                        held += record_.framed + len(record_.head)
                         if held >= BATCH_BYTES:
                             yield _batch(rows)
                             rows, held = [], 0
@@ -155,8 +238,8 @@ def record(page_id: int | None, url: str | None, html: str | None) -> bytes:
     digest = base64.b32encode(hashlib.sha1(block).digest()).decode()
     head = ["WARC/1.1", "WARC-Type: resource", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}|{url}')}>", "WARC-Date: 2024-01-01T00:00:00Z"]
     if url is not None:
-        safe = url.replace("%", "%25").replace(" ", "%20").replace("\r", "%0D").replace("\n", "%0A")
-        head.append(f"WARC-Target-URI: {safe}")
+        escaped = url != url.strip() or not url.isprintable()
+        head += [f"WARC-Target-URI: {quote(url, safe='/:?&=#') if escaped else url}", *["X-Escaped: 1"] * escaped]
     if page_id is not None:
         head.append(f"X-Page-Id: {page_id}")
     if html is None:
@@ -195,7 +278,7 @@ def write_warc(pages: DataFrame, folder: str) -> DataFrame:
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Write the pages as WARC to the shared folder and read every record back."""
+    """Write the pages as WARC to the shared folder and read every record back (a task for each file, in at most 100,000 partitions)."""
     files = write_warc(pages, f"{scratch_path(pages.sparkSession)}")
     return read_warc(files.repartition(max(1, min(files.count(), 100_000))))
 

@@ -82,7 +82,7 @@ def test_against_sql(name, spark, small, same_as_sql):
     same_as_sql(registry.QUERIES[name](spark, small), registry.SQL[name], small)
 
 
-# --- 1 secret scans --------------------------------------------------------
+# --- 1 secret scans
 
 
 def test_trigram_queries_are_sound():
@@ -110,7 +110,7 @@ def test_scan_equals_full_scan(spark):
     assert sorted(tuple(r) for r in secret_scan.scan(rows).collect()) == sorted(want)
 
 
-# --- 2 fingerprints --------------------------------------------------------
+# --- 2 fingerprints
 
 
 def test_extensions_and_spans(spark):
@@ -133,7 +133,7 @@ def test_extensions_and_spans(spark):
     assert {r.id: r.equal for r in fingerprint.span_equal(bad).collect()} == {1: False, 2: None, 3: False}
 
 
-# --- 3 mixing --------------------------------------------------------------
+# --- 3 mixing
 
 
 def test_mix_reaches_weights(spark):
@@ -145,7 +145,16 @@ def test_mix_reaches_weights(spark):
     assert {per.get(k, 0) for k in range(0, 4000, 4)} == {2} and {per.get(k, 0) for k in range(1, 4000, 4)} == {0, 1}
 
 
-# --- 4 language ------------------------------------------------------------
+def test_mix_replaces_the_column_in_any_case(spark, weird, tmp_path):
+    for name in ("copy_no", "COPY_NO"):
+        out = source_mix.mix_sources(weird.withColumn(name, F.lit("x")))
+        assert out.columns == [*weird.columns, "copy_no"] and out.schema["copy_no"].dataType.typeName() == "integer"
+        out.write.parquet(str(tmp_path / name))
+    kept = weird.withColumn("COPY_NO", F.lit("x"))
+    assert source_mix.repeat_documents(kept).columns == kept.columns
+
+
+# --- 4 language
 
 
 def test_language_held_out(spark):
@@ -182,7 +191,7 @@ def test_language_keeps_short_and_repetitive_texts(spark):
     assert all(r.predicted for r in language_id.identify(again, model).collect())
 
 
-# --- 5 WARC ----------------------------------------------------------------
+# --- 5 WARC
 
 
 def test_warc_faults(spark, tmp_path):
@@ -204,6 +213,32 @@ def test_warc_faults(spark, tmp_path):
     assert rows[0].url == "http://a/%20 b\nc" and rows[0].html == "<p>é</p>" * 50_000 and rows[5].html is None and rows[5].url is None
 
 
+def test_warc_goes_on_after_damage(spark, tmp_path):
+    parts = [warc.record(k, f"http://a/{k}", "text %d " % k * 20_000 * (k % 3)) for k in range(12)]
+    for k in (1, 4, 5):
+        at = len(parts[k]) // 2
+        parts[k] = parts[k][:at] + bytes([parts[k][at] ^ 0x55]) + parts[k][at + 1 :]
+    parts[8] = parts[8][: len(parts[8]) // 2]  # a writer that died and was started again
+    parts[10] = parts[10][:-6] + b"zz" + parts[10][-4:]  # a wrong check sum
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(parts))
+    for size in (64, warc.READ_BYTES):
+        with open(tmp_path / "a.warc.gz", "rb") as f:
+            got = [(r.row(c)[0], r.status(c)) for r, c in warc.records(f, size)]
+        assert [p for p, s in got if s == "ok"] == [0, 2, 3, 6, 7, 9, 11]
+        assert len(got) == 12 and sum(s == "truncated" for _, s in got) == 5
+
+
+def test_warc_urls_stand_as_they_are(spark, tmp_path):
+    import gzip
+
+    foreign = b"WARC/1.0\r\nWARC-Target-URI: http://a/b%20c?q=100%25\r\nContent-Length: 2\r\nX-Fold: a\r\n b\r\n\r\nhi\r\n\r\n"
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(foreign))
+    assert warc.read_warc(spark.createDataFrame([(str(tmp_path / "a.warc.gz"),)], "path string")).first().url == "http://a/b%20c?q=100%25"
+    urls = ["\thttp://a", " x ", "a\r\nX-Page-Id: 7", "", "%0A", "ü\u2028ñ", "http://a/b%20c d"]
+    pages = spark.createDataFrame([(k, u, "") for k, u in enumerate(urls)], "page_id bigint, url string, html string")
+    assert {r.page_id: r.url for r in warc.round_trip(pages).collect()} == dict(enumerate(urls))
+
+
 def test_warc_round_trip(spark):
     pages = spark.createDataFrame([(1, "u", "<p>"), (None, None, None), (1, "u", "<p>"), (2, "v", "")], "page_id bigint, url string, html string").withColumn("status", F.lit("x"))
     got = sorted(((r.page_id, r.url, r.html, r.status) for r in warc.round_trip(pages).collect()), key=repr)
@@ -211,7 +246,7 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
-# --- 6 lines ---------------------------------------------------------------
+# --- 6 lines
 
 
 def brute_lines(rows):
@@ -263,7 +298,7 @@ def test_repeated_rows_keep_their_lines_once(spark):
     assert [r.text for r in line_dedup.dedup_lines(rows).collect()] == ["one line that repeats"]
 
 
-# --- 7 Re-Pair -------------------------------------------------------------
+# --- 7 Re-Pair
 
 
 def test_repair_round_trip(spark, weird):
@@ -293,7 +328,7 @@ def test_compress_runs_and_borders():
         assert out == [list(ids[e - c : e]) for e, c in zip(ends, counts)]
 
 
-# --- 8 SimHash -------------------------------------------------------------
+# --- 8 SimHash
 
 
 def test_near_duplicates_against_brute_force(spark):
@@ -368,7 +403,7 @@ def test_components_of_a_chain(spark):
     assert components(edges.limit(0)).count() == 0
 
 
-# --- 9 top-k ---------------------------------------------------------------
+# --- 9 top-k
 
 
 def test_top_k_awkward_vectors(spark):
@@ -390,7 +425,7 @@ def test_top_k_against_brute_force(spark):
     assert {(r.vec_id, r.rank): r.neighbor_id for r in mtree.top_k(df, 5, shard=50).collect()} == want
 
 
-# --- 10 packing ------------------------------------------------------------
+# --- 10 packing
 
 
 def test_hilbert_curve():
