@@ -8,23 +8,30 @@ differ in at most ``SKETCH`` bits (half of 1 - Jaccard of them are expected to).
 which it doesn't are doubtful and are decided by their words: they are linked if the exact
 Jaccard index of their words, as sets or counted as often as they occur, is ``ALIKE`` at
 least. That keeps apart short texts that share a frequent line, whose few features make the
-fingerprint unsteady. The links' connected components are the groups.
-
-All distinct fingerprints are compared: they are laid out in tiles of ``TILE`` rows in
-order of population count; a pair of tiles is skipped when even their nearest population
-counts differ beyond the radius (the count of differing bits can't be less), and so are
-pairs of the blocks inside tiles. The rest is compared with numpy exclusive-or and bit
-counts: first 64 bits for all pairs, then the other 64 for the pairs still possible. Each
-tile pair hands on a spanning forest of its links, so groups of thousands of copies don't
-give millions of edges, and the doubtful pairs that the forest doesn't join.
+fingerprint unsteady. Only texts equal in fingerprint and sketch are taken for linked
+without a comparison. The links' connected components are the groups.
+
+All other pairs are compared: the distinct (fingerprint, sketch) rows are laid out in
+tiles in order of population count; a pair of tiles is skipped when even their nearest
+population counts differ beyond the radius (the count of differing bits can't be less), and
+so are pairs of the blocks inside tiles. The rest is compared with numpy exclusive-or and
+bit counts: first 64 bits for all pairs, then the other 64 for the pairs still possible.
+There are as many tiles as give every core a few tile pairs, and more only where a tile
+would exceed ``TILE`` rows: a row is copied once for each tile, so up to cores x ``TILE``
+rows the shuffle grows in proportion to the input (the comparison itself is quadratic).
+Each tile pair hands on a spanning forest of its links, so groups of thousands of copies
+don't give millions of edges, and the doubtful pairs that the forest doesn't join.
 
 Cases: null and empty texts are each a group of their own; texts without any word are
-grouped only if equal; repeated rows are copies; the document kept of a group is that of
-the smallest ``doc_id`` (null last), then of the smallest hash of its text.
+grouped only if equal; a text of any length is used whole; repeated rows are copies; of a
+group the document of the smallest ``doc_id`` is kept (null last), at ties that of the
+smallest hash of its text; an empty table gives an empty table; other columns, whatever
+their names, are passed through by ``drop_near_duplicates`` and not read otherwise.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +47,8 @@ from .text import Column, mix, prefix_hash, slots, span_hash, words
 RADIUS = 24
 SKETCH = 12
 ALIKE = 0.5
-TILE = 16_384
+TILE = 1 << 20
+SHARES = 8  # tile pairs a core
 BLOCK = 2_048
 _STRIP = 64
 _SCHEMA = "k1 bigint, k2 bigint, h0 bigint, h1 bigint, m bigint, pop int"
@@ -147,23 +155,24 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
     n_of = {r["pop"]: r["n"] for r in distinct.groupBy("pop").agg(F.count("*").alias("n")).collect()}
     if not n_of:
         return spark.createDataFrame([], "a bigint, b bigint, sure boolean")
+    size = min(tile, -(-sum(n_of.values()) // math.isqrt(2 * SHARES * spark.sparkContext.defaultParallelism)))
     before, total, range_of = {}, 0, {}
     for p in sorted(n_of):
         before[p] = total
         total += n_of[p]
-        for k in range(before[p] // tile, (total - 1) // tile + 1):
+        for k in range(before[p] // size, (total - 1) // size + 1):
             lo, hi = range_of.get(k, (p, p))
             range_of[k] = (min(lo, p), max(hi, p))
+    # a tile's pairs: those with itself and with later tiles within reach of population count
+    reach = {k: next((u for u in range(k, len(range_of)) if range_of[u][0] - range_of[k][1] > radius), len(range_of)) for k in range_of}
     counts = spark.createDataFrame([(p, before[p], n_of[p]) for p in n_of], "pop int, before bigint, n bigint")
     spot = F.col("before") + F.pmod(F.xxhash64("node"), F.col("n"))
-    tiled = distinct.join(F.broadcast(counts), "pop").select((spot / F.lit(tile)).cast("bigint").alias("t"), "node", "h0", "h1", "m", "pop")
-    tiles = spark.createDataFrame([(k, lo, hi) for k, (lo, hi) in range_of.items()], "t bigint, lo int, hi int")
-    other = tiles.select(F.col("t").alias("u"), F.col("lo").alias("ulo"), F.col("hi").alias("uhi"))
-    near = (F.col("ulo") - F.col("hi") <= radius) & (F.col("lo") - F.col("uhi") <= radius)
-    pairs = tiles.join(other, (F.col("t") <= F.col("u")) & near).select("t", "u")
-    sides = pairs.select(F.explode(F.array_distinct(F.array("t", "u"))).alias("s"), "t", "u")
-    work = tiled.withColumnRenamed("t", "s").join(sides, "s")
-    tasks = max(1, min(len(range_of) * (len(range_of) + 1) // 2, 50_000))
+    tiled = distinct.join(F.broadcast(counts), "pop").select((spot / F.lit(size)).cast("bigint").alias("s"), "node", "h0", "h1", "m", "pop")
+    first = {k: min(t for t in range_of if reach[t] > k) for k in range_of}
+    spans = spark.createDataFrame([(k, first[k], reach[k] - 1) for k in range_of], "s bigint, first bigint, last bigint")
+    others = tiled.join(F.broadcast(spans), "s").select("s", "node", "h0", "h1", "m", "pop", F.explode(F.sequence("first", "last")).alias("o"))
+    work = others.select("s", "node", "h0", "h1", "m", "pop", F.least("s", "o").alias("t"), F.greatest("s", "o").alias("u"))
+    tasks = sum(reach[k] - k for k in range_of)
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pop", kind="stable")
@@ -184,7 +193,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
         a, b = np.concatenate([moved, i[open_]]), np.concatenate([root[moved], j[open_]])
         return pd.DataFrame({"a": order[a], "b": order[b], "sure": np.arange(len(a)) < len(moved)})
 
-    return work.repartition(tasks, "t", "u").groupBy("t", "u").applyInPandas(run, "a bigint, b bigint, sure boolean")
+    return work.repartition(min(tasks, 50_000), "t", "u").groupBy("t", "u").applyInPandas(run, "a bigint, b bigint, sure boolean")
 
 
 def word_sets(texts: DataFrame) -> DataFrame:
@@ -228,14 +237,14 @@ def group_table(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> Data
     """``(doc_id, k1, k2, group_key)`` for every row of ``docs``, written."""
     table = fingerprint_table(docs)
     some = table.filter("h0 is not null")
-    distinct = cut(some.groupBy("h0", "h1").agg(F.max("pop").alias("pop"), F.min("m").alias("m"), F.min(F.struct("k1", "k2")).alias("k")).withColumn("node", F.monotonically_increasing_id()))
+    distinct = cut(some.groupBy("h0", "h1", "m").agg(F.max("pop").alias("pop"), F.min(F.struct("k1", "k2")).alias("k")).withColumn("node", F.monotonically_increasing_id()))
     pairs = cut(links(distinct.filter("pop is not null"), radius, tile))
     edges, doubtful = pairs.filter("sure").select("a", "b"), pairs.filter("not sure").select("a", "b")
     if doubtful.limit(1).count():
         edges = edges.unionByName(alike(docs, distinct, doubtful))
     roots = components(edges)
-    node = distinct.select("h0", "h1", "node").join(roots, "node", "left").select("h0", "h1", F.coalesce("root", "node").alias("group_key"))
-    grouped = some.join(node, ["h0", "h1"]).select("doc_id", "k1", "k2", "group_key")
+    node = distinct.select("h0", "h1", "m", "node").join(roots, "node", "left").select("h0", "h1", "m", F.coalesce("root", "node").alias("group_key"))
+    grouped = some.join(node, ["h0", "h1", "m"]).select("doc_id", "k1", "k2", "group_key")
     alone = table.filter("h0 is null").select("doc_id", "k1", "k2", F.lit(None).cast("bigint").alias("group_key"))
     return cut(grouped.unionByName(alone))
 

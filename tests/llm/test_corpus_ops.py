@@ -374,6 +374,14 @@ def test_pairs_that_the_sketch_denies(spark):
         assert {r.doc_id: r.group_id for r in simhash.near_duplicates(docs, tile=tile).collect()} == dict(enumerate(root))
 
 
+def test_equal_fingerprints_of_different_words_stay_apart(spark):
+    rng = np.random.default_rng(81)
+    tails = [" ".join("".join(rng.choice(list("abcdefghij"), 7)) for _ in range(40)) for _ in range(3)]
+    docs = docs_of(spark, [(k, "spam " * 60 + t, "en", "s") for k, t in enumerate([*tails, tails[0]])])
+    assert simhash.fingerprint_table(docs).select("h0", "h1").distinct().count() == 1
+    assert {r.doc_id: r.group_id for r in simhash.near_duplicates(docs).collect()} == {0: 0, 1: 1, 2: 2, 3: 0}
+
+
 def test_near_copies_found_and_clean_kept(spark):
     rng = np.random.default_rng(8)
     vocabulary = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(3000)]
@@ -396,9 +404,10 @@ def test_unusual_documents_stay(spark, weird):
     assert kept == [1, 2, 3, 4, 5, 6, 7, 8, None]
 
 
-def test_components_of_a_chain(spark):
-    edges = spark.createDataFrame([(k, k + 1) for k in range(50)] + [(100, 101), (101, 100), (7, 7)], "a bigint, b bigint")
-    got = {r.node: r.root for r in components(edges).collect()}
+@pytest.mark.parametrize("local", [2_000_000, 20, 0])
+def test_components_of_a_chain(spark, local):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(50)] + [(100, 101), (101, 100), (7, 7)], "a bigint, b bigint").repartition(4)
+    got = {r.node: r.root for r in components(edges, local).collect()}
     assert got == {**{k: 0 for k in range(51)}, 100: 100, 101: 100}
     assert components(edges.limit(0)).count() == 0
 
