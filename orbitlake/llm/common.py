@@ -11,8 +11,9 @@ from urllib.parse import urlparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Largest number of rows of a side that is broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 500_000
+#: Largest size of a side that is broadcast; beyond it the join shuffles.
+BROADCAST_BYTES = 16 << 20
+ROW_BYTES = 32
 _made: dict[str, list[str]] = {}
 
 
@@ -69,12 +70,14 @@ def release(spark: SparkSession, since: int = 0) -> None:
     del paths[since:]
 
 
-def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df``, hinted for broadcast only if it has at most ``limit`` rows, else for a shuffled hash join built on it.
+def sized(df: DataFrame, size: str | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df``, hinted for broadcast only if its rows take at most ``limit`` bytes, else for a shuffled hash join built on it.
 
-    Give it a written table of narrow rows: it is counted first.
+    ``size`` is an SQL expression of a row's bytes, by default ``ROW_BYTES`` for a few numbers.
+    Give it a written table: it is measured first.
     """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df.hint("shuffle_hash")
+    total = df.agg(F.sum(F.expr(size or str(ROW_BYTES))).cast("double")).first()[0] or 0
+    return F.broadcast(df) if total <= limit else df.hint("shuffle_hash")
 
 
 def place(df: DataFrame, name: str) -> int:

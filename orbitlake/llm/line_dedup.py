@@ -5,19 +5,25 @@ Lines are the pieces between line breaks. A line is the set of its character shi
 ``BANDS`` bands of ``ROWS`` MinHash values each make the candidates: at the threshold of
 ``THRESHOLD`` a pair shares a band with probability 1 - (1 - 0.8^5)^10 = 0.98. Every line
 of a bucket is verified, by the exact Jaccard similarity of the shingle sets, against the
-bucket's smallest line; lines of a bucket that this leaves in different components are then
-verified pair by pair, so no pair of a bucket that matters goes unchecked and buckets of
-thousands of variants stay linear. Verified pairs are joined by the distributed union-find
-of ``components``; of each component the first line stays, that of the smallest ``doc_id``
-(null last), then of the document key and line number.
+bucket's smallest line; where that leaves a bucket's lines in different components, against
+its next smallest, ``STARS`` times in all; and then every pair of lines that still are in
+different components. So no pair of a bucket that matters goes unchecked, and buckets of
+thousands of variants of a few lines stay linear. Verified pairs are joined by the
+distributed union-find of ``components``; of each component the first line stays, that of
+the smallest ``doc_id`` (null last), at ties of the smallest document key, then of the
+smallest line number.
+
+Documents are read twice: split into a table of lines, and rewritten.
 
 ``dedup_lines`` rewrites the documents. Cases: blank lines (white space only) are layout:
 they are neither compared nor counted, and are dropped where they would follow another
 blank or lead the text, in documents that lose a line; a document whose lines are all
 duplicates is dropped, one that had no line to begin with (null, empty or blank text)
 stays as it is; rows equal in ``doc_id`` and text hold the same lines, so only one of
-them, whichever comes first, keeps them and the others go; a column ``n_chars`` of integer
-type is set to the new length where the text changed. An empty table gives an empty table.
+them, whichever comes first, keeps them and the others go; lines and texts of any length
+are used whole; a column ``n_chars`` of integer type is set to the new length where the
+text changed, all other columns are passed through, whatever their names. An empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -26,18 +32,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, place, sized
 from .components import components
 from .simhash import keyed
-from .text import Column, mix
+from .text import SPACE, Column, mix
 
 SHINGLE = 6
 BANDS = 10
 ROWS = 5
 THRESHOLD = 0.8
+STARS = 4
 _rng = np.random.default_rng(6)
 _A = (_rng.integers(1, 1 << 32, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _B = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
@@ -92,11 +100,14 @@ def jaccard(a: str, b: str) -> float:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """``(doc_id, k1, k2, no, line, h1, h2)``: every line that isn't blank."""
+    """``(doc_id, k1, k2, nth, no, line, h1, h2)``, written: every line that isn't blank, the ``nth`` of these and the ``no``-th of all."""
     flat = keyed(docs)
     i, t = f"_{place(docs, 'doc_id')}", f"_{place(docs, 'text')}"
-    each = flat.select(F.col(i).alias("doc_id"), "k1", "k2", F.posexplode(F.split(F.col(t), "\n")).alias("no", "line"))
-    return each.filter(F.col("line").rlike(r"[^ \t\r\f\x0B]")).withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(3), "line")})
+    numbered = F.transform(F.split(F.col(t), "\n"), lambda line, no: F.struct(no.alias("no"), line.alias("line")))
+    filled = F.filter(numbered, lambda x: F.btrim(x["line"], F.lit(" \t\r\f\x0b")) != "")
+    each = flat.select(F.col(i).alias("doc_id"), "k1", "k2", F.posexplode(filled).alias("nth", "x"))
+    each = each.select("doc_id", "k1", "k2", "nth", F.col("x.no").alias("no"), F.col("x.line").alias("line"))
+    return cut(each.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(3), "line")}))
 
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,11 +139,8 @@ def _near(left: pa.Array, right: pa.Array) -> np.ndarray:
     return shared >= THRESHOLD * (np.bincount(row, minlength=n) - shared) - 1e-9
 
 
-def verify(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """The pairs ``(a, b)`` of line hashes whose exact similarity reaches the threshold."""
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct())
-    text = lines.select("h1", "line").join(sized(wanted), "h1", "left_semi")
-    text = cut(text.groupBy("h1").agg(F.first("line").alias("line")))
+def verify(pairs: DataFrame, text: DataFrame) -> DataFrame:
+    """The pairs ``(a, b)`` of line hashes whose exact similarity reaches the threshold, written; ``text(h1, line)`` has their lines."""
     one = text.select(F.col("h1").alias("a"), F.col("line").alias("x"))
     two = text.select(F.col("h1").alias("b"), F.col("line").alias("y"))
     both = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "x", "y")
@@ -144,76 +152,102 @@ def verify(pairs: DataFrame, lines: DataFrame) -> DataFrame:
                 near = pa.array(_near(part.column(2), part.column(3)))
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(near), part.column(1).filter(near)], ["a", "b"])
 
-    return both.mapInArrow(run, "a bigint, b bigint")
+    return cut(both.mapInArrow(run, "a bigint, b bigint"))
 
 
-def line_components(docs: DataFrame) -> DataFrame:
-    """``(node, root)`` of the lines (by hash ``h1``) that are similar to another."""
-    lines = lines_of(docs)
+def line_components(lines: DataFrame) -> DataFrame:
+    """``(node, root)`` of the lines of ``lines_of`` (by hash ``h1``) that are similar to another."""
     names = [f"b{b}" for b in range(BANDS)]
     banded = lines.select("h1", "line").mapInArrow(_banded, "h1 bigint, " + ", ".join(f"{n} bigint" for n in names))
-    unique = banded.groupBy("h1").agg(*[F.min(n).alias(n) for n in names])
-    buckets = unique.select("h1", F.explode(F.array(*names)).alias("bucket"))
+    buckets = banded.select("h1", F.explode(F.array(*names)).alias("bucket"))
     least = F.min("h1").over(Window.partitionBy("bucket"))
-    star = cut(buckets.withColumn("m", least).filter("m <> h1"))
-    first = cut(verify(star.select(F.col("m").alias("a"), F.col("h1").alias("b")).distinct(), lines))
-    roots = components(first)
-    member = star.select("bucket", "h1").unionByName(star.select("bucket", F.col("m").alias("h1")).distinct())
-    placed = member.join(roots.withColumnRenamed("node", "h1"), "h1", "left").select("bucket", "h1", F.coalesce("root", "h1").alias("c"))
-    spread = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("bucket")
-    open_ = cut(placed.join(spread, "bucket"))
-    x = open_.select("bucket", F.col("h1").alias("a"), F.col("c").alias("ca"))
-    y = open_.select("bucket", F.col("h1").alias("b"), F.col("c").alias("cb"))
-    done = star.select(F.col("m").alias("a"), F.col("h1").alias("b")).distinct()
-    rest = x.join(y, "bucket").filter("a < b and ca <> cb").select("a", "b").distinct().join(done, ["a", "b"], "left_anti")
-    second = verify(cut(rest), lines)
-    return components(first.unionByName(second))
-
-
-def kept_lines(docs: DataFrame) -> DataFrame:
-    """``(k1, k2, kept)``: by document key, the numbers of the lines that stay; documents that keep none are absent."""
-    roots = line_components(docs)
-    each = lines_of(docs).select("doc_id", "k1", "k2", "no", "h1", "h2")
-    alone = F.struct(F.col("h1").alias("x"), F.col("h2").alias("y"))
-    fuzzy = F.struct(F.col("root").alias("x"), F.lit(0).cast("bigint").alias("y"))
-    joined = each.join(sized(roots.withColumnRenamed("node", "h1")), "h1", "left").withColumn("g", F.when(F.col("root").isNull(), alone).otherwise(fuzzy))
+    star = cut(buckets.withColumn("m", least).filter("m <> h1").groupBy("bucket", "m", "h1").agg(F.lit(1).alias("one")).drop("one"))
+    pairs = star.select(F.col("m").alias("a"), F.col("h1").alias("b")).distinct()
+    wanted = cut(star.select(F.explode(F.array("m", "h1")).alias("h1")).distinct())
+    text = cut(lines.select("h1", "line").join(sized(wanted), "h1", "left_semi").dropDuplicates(["h1"]))
+    found = verify(pairs, text)
+    member = star.select("bucket", "h1")  # a line that has been compared with its whole bucket leaves it
+    for step in range(STARS):
+        roots = components(found)
+        placed = member.join(roots.withColumnRenamed("node", "h1"), "h1", "left").select("bucket", "h1", F.coalesce("root", "h1").alias("c"))
+        spread = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("h1").alias("m")).filter("lo <> hi").select("bucket", "m")
+        member = cut(placed.join(spread, "bucket"))
+        if not member.limit(1).count():
+            return roots
+        if step < STARS - 1:
+            first = member.filter("h1 = m").select("bucket", F.col("c").alias("cm"))
+            rest = member.filter("h1 <> m").join(first, "bucket").filter("c <> cm").select(F.col("m").alias("a"), F.col("h1").alias("b"))
+            member = member.filter("h1 <> m").select("bucket", "h1")
+        else:
+            x = member.select("bucket", F.col("h1").alias("a"), F.col("c").alias("ca"))
+            y = member.select("bucket", F.col("h1").alias("b"), F.col("c").alias("cb"))
+            rest = x.join(y, "bucket").filter("a < b and ca <> cb").select("a", "b")
+        found = found.unionByName(verify(rest.distinct(), text))
+    return components(found)
+
+
+def kept_lines(lines: DataFrame) -> DataFrame:
+    """``(k1, k2, kept)``, written: by document key, the numbers of the lines that stay; documents that keep none are absent."""
+    roots = line_components(lines)
+    each = lines.select("doc_id", "k1", "k2", "no", "h1", "h2")
+    joined = each.join(sized(cut(roots.withColumnRenamed("node", "h1"))), "h1", "left")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2", "no")
-    first = joined.groupBy("g.x", "g.y").agg(F.min(order).alias("o")).select("o.k1", "o.k2", "o.no")
-    return first.groupBy("k1", "k2").agg(F.sort_array(F.collect_list("no")).alias("kept"))
+    x, y = F.coalesce("root", "h1").alias("x"), F.when(F.col("root").isNull(), F.col("h2")).alias("y")
+    first = joined.select(x, y, order.alias("o")).groupBy("x", "y").agg(F.min("o").alias("o")).select("o.k1", "o.k2", "o.no")
+    return cut(first.groupBy("k1", "k2").agg(F.sort_array(F.collect_list("no")).alias("kept")))
+
+
+def _filled(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The number of lines of each row that aren't blank."""
+    start = np.union1d(offsets[:-1][np.diff(offsets) > 0], np.flatnonzero(data == 10) + 1)
+    start = start[start < len(data)]
+    filled = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(~SPACE[data], out=filled[1:])
+    some = filled[np.append(start[1:], len(data))] > filled[start] if len(start) else np.zeros(0, bool)
+    return np.bincount(np.searchsorted(offsets, start, side="right") - 1, weights=some, minlength=len(offsets) - 1).astype(np.int64)
+
+
+def _thinned(text: str, kept: list[int]) -> str:
+    """The text's blank lines and those of ``kept``, without blank lines in a row or ahead."""
+    out, after_blank, keep = [], True, set(kept)
+    for no, line in enumerate(text.split("\n")):
+        blank = not line.strip(" \t\r\f\x0b")
+        if (blank and not after_blank) or (not blank and no in keep):
+            out.append(line)
+            after_blank = blank
+    return "\n".join(out)
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with one line of each component left."""
-    kept = cut(kept_lines(docs))
-    t = f"_{place(docs, 'text')}"
-    flat = keyed(docs).join(sized(kept), ["k1", "k2"], "left")
-    pieces = F.split(F.col(t), "\n")
-    blank = lambda line: ~line.rlike(r"[^ \t\r\f\x0B]")
-    n_lines = F.size(F.filter(pieces, lambda x: ~blank(x)))
-    flat = flat.withColumn("n", F.coalesce(n_lines, F.lit(0))).filter("n <= 0 or kept is not null")
-    chosen = F.filter(pieces, lambda x, i: blank(x) | F.array_contains("kept", i))
-    tidy = F.filter(chosen, lambda x, i: ~blank(x) | ((i > 0) & ~blank(F.get(chosen, i - 1))))
-    change = (F.col("n") > 0) & (F.size("kept") < F.col("n"))
-    flat = flat.withColumn("new", F.when(change, F.array_join(tidy, "\n")))
-    out = []
-    for i, field in enumerate(docs.schema.fields):
-        c = F.col(f"_{i}")
-        if f"_{i}" == t:
-            c = F.coalesce("new", c)
-        elif field.name == "n_chars" and field.dataType.typeName() in ("long", "integer"):
-            c = F.when(F.col("new").isNotNull(), F.length("new").cast(field.dataType)).otherwise(c)
-        out.append(c.alias(f"_{i}"))
-    return _one_of_repeated(flat, out, docs)
-
-
-def _one_of_repeated(flat: DataFrame, out: list, docs: DataFrame) -> DataFrame:
-    keys = keyed(docs).select("k1", "k2", f"_{place(docs, 'text')}").toDF("k1", "k2", "text")
-    keys = keys.filter(F.col("text").rlike(r"[^ \t\r\n\f\x0B]")).groupBy("k1", "k2").agg(F.count("*").alias("c"))
-    repeated = cut(keys.filter("c > 1").select("k1", "k2"))
+    lines = lines_of(docs)
+    kept = kept_lines(lines)
+    t, width = place(docs, "text"), len(docs.columns)
+    flat = keyed(docs).join(sized(kept, "32 + 4 * size(kept)"), ["k1", "k2"], "left")
+    repeated = cut(lines.filter("nth = 0").groupBy("k1", "k2").count().filter("count > 1").select("k1", "k2"))
     if repeated.limit(1).count():
         once = flat.join(sized(repeated), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
         flat = flat.join(sized(repeated), ["k1", "k2"], "left_anti").unionByName(once.select(*flat.columns))
-    return flat.select(*out).toDF(*docs.columns)
+    flat = flat.select(*[f"_{i}" for i in range(width)], "kept")
+    counted = [i for i, f in enumerate(docs.schema.fields) if f.name == "n_chars" and f.dataType.typeName() in ("long", "integer")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            col = Column(batch.column(t))
+            n = np.concatenate([_filled(data, off) for _, _, data, off in col.chunks()]) if len(col) else np.zeros(0, np.int64)
+            left = batch.column(width)
+            have = left.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            change = np.flatnonzero((have > 0) & (have < n))
+            new = [_thinned(text, k) for text, k in zip(batch.column(t).take(pa.array(change)).to_pylist(), left.take(pa.array(change)).to_pylist(), strict=True)]
+            arrays, mask = list(batch.columns[:width]), np.zeros(len(n), bool)
+            mask[change] = True
+            arrays[t] = pc.replace_with_mask(arrays[t], pa.array(mask), pa.array(new, arrays[t].type))
+            for i in counted:
+                arrays[i] = pc.replace_with_mask(arrays[i], pa.array(mask), pa.array([len(x) for x in new], arrays[i].type))
+            yield pa.RecordBatch.from_arrays(arrays, names).filter(pa.array((n == 0) | (have > 0)))
+
+    names = [f"_{i}" for i in range(width)]
+    return flat.mapInArrow(run, flat.drop("kept").schema).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
