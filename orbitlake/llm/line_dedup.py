@@ -86,8 +86,11 @@ def signatures(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     h, first = shingles(data, offsets)
     h = (h >> np.uint64(32)).astype(np.uint32)
     out = np.zeros((len(first), BANDS), np.uint64)
+    hashed = np.empty_like(h)
     for k in range(BANDS * ROWS):
-        least = np.minimum.reduceat(h * _A[k] + _B[k], first)
+        np.multiply(h, _A[k], out=hashed)
+        hashed += _B[k]
+        least = np.minimum.reduceat(hashed, first)
         band = out[:, k // ROWS]
         out[:, k // ROWS] = mix(band * np.uint64(0x9E3779B97F4A7C15) + least + np.uint64(k))
     return out
@@ -100,14 +103,11 @@ def jaccard(a: str, b: str) -> float:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """``(doc_id, k1, k2, nth, no, line, h1, h2)``, written: every line that isn't blank, the ``nth`` of these and the ``no``-th of all."""
-    flat = keyed(docs)
+    """``(doc_id, k1, k2, row, no, line, h1, h2)``, written: every line that isn't blank, ``row`` numbering the rows of ``docs``."""
+    flat = keyed(docs).withColumn("row", F.monotonically_increasing_id())
     i, t = f"_{place(docs, 'doc_id')}", f"_{place(docs, 'text')}"
-    numbered = F.transform(F.split(F.col(t), "\n"), lambda line, no: F.struct(no.alias("no"), line.alias("line")))
-    filled = F.filter(numbered, lambda x: F.btrim(x["line"], F.lit(" \t\r\f\x0b")) != "")
-    each = flat.select(F.col(i).alias("doc_id"), "k1", "k2", F.posexplode(filled).alias("nth", "x"))
-    each = each.select("doc_id", "k1", "k2", "nth", F.col("x.no").alias("no"), F.col("x.line").alias("line"))
-    return cut(each.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(3), "line")}))
+    each = flat.select(F.col(i).alias("doc_id"), "k1", "k2", "row", F.posexplode(F.split(F.col(t), "\n")).alias("no", "line"))
+    return cut(each.filter(F.col("line").rlike(r"[^ \t\r\f\x0B]")).withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(3), "line")}))
 
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +224,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     kept = kept_lines(lines)
     t, width = place(docs, "text"), len(docs.columns)
     flat = keyed(docs).join(sized(kept, "32 + 4 * size(kept)"), ["k1", "k2"], "left")
-    repeated = cut(lines.filter("nth = 0").groupBy("k1", "k2").count().filter("count > 1").select("k1", "k2"))
+    repeated = cut(lines.groupBy("k1", "k2").agg(F.min("row").alias("lo"), F.max("row").alias("hi")).filter("lo <> hi").select("k1", "k2"))
     if repeated.limit(1).count():
         once = flat.join(sized(repeated), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
         flat = flat.join(sized(repeated), ["k1", "k2"], "left_anti").unionByName(once.select(*flat.columns))
