@@ -32,14 +32,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, place, sized
 from .components import components
 from .simhash import keyed
-from .text import SPACE, Column, mix
+from .text import Column, mix
 
 SHINGLE = 6
 BANDS = 10
@@ -50,6 +49,7 @@ _rng = np.random.default_rng(6)
 _A = (_rng.integers(1, 1 << 32, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _B = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
 _CHUNK = 1 << 17
+_VERIFIED = 1 << 22
 
 
 def _points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,22 +121,23 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(keys[:, b]) for b in range(BANDS)]], ["h1", *[f"b{b}" for b in range(BANDS)]])
 
 
-def _near(left: pa.Array, right: pa.Array) -> np.ndarray:
-    """Which of at most 256 pairs reach the threshold: one sort of (pair, shingle hash, side)."""
-    n = len(left)
-    keys = []
-    for side, array in enumerate((left, right)):
-        col = Column(array)
-        h, first = shingles(col.data[col.offsets[0] : col.offsets[-1]], col.offsets - col.offsets[0])
-        row = np.repeat(np.arange(n, dtype=np.uint64), np.diff(np.append(first, len(h))))
-        keys.append((row << np.uint64(56)) | (h >> np.uint64(9) << np.uint64(1)) | np.uint64(side))
-    key = np.sort(np.concatenate(keys))
-    once = np.ones(len(key), bool)
-    once[1:] = key[1:] != key[:-1]
-    key = key[once]
-    row = (key >> np.uint64(56)).astype(np.int64)
-    shared = np.bincount(row[1:][key[1:] >> np.uint64(1) == key[:-1] >> np.uint64(1)], minlength=n)
-    return shared >= THRESHOLD * (np.bincount(row, minlength=n) - shared) - 1e-9
+def _near(a: np.ndarray, b: np.ndarray, left: pa.Array, right: pa.Array) -> np.ndarray:
+    """Which of the pairs reach the threshold; the shingles of a line (known by its hash) are sorted once."""
+    _, first, which = np.unique(np.concatenate([a, b]), return_index=True, return_inverse=True)
+    texts = pa.concat_arrays([left, right]).take(pa.array(first))
+    col, sets = Column(texts), []
+    for _, _, data, off in col.chunks(_CHUNK):
+        h, start = shingles(data, off)
+        sets += [np.unique(h[i:j]) for i, j in zip(start.tolist(), [*start[1:].tolist(), len(h)], strict=True)]
+    out = np.zeros(len(a), bool)
+    for k, (i, j) in enumerate(zip(which[: len(a)].tolist(), which[len(a) :].tolist(), strict=True)):
+        x, y = sets[i], sets[j]
+        if min(len(x), len(y)) < THRESHOLD * max(len(x), len(y)) - 1e-9:
+            continue
+        both = np.sort(np.concatenate([x, y]))
+        shared = np.count_nonzero(both[1:] == both[:-1])
+        out[k] = shared >= THRESHOLD * (len(both) - shared) - 1e-9
+    return out
 
 
 def verify(pairs: DataFrame, text: DataFrame) -> DataFrame:
@@ -147,10 +148,15 @@ def verify(pairs: DataFrame, text: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                near = pa.array(_near(part.column(2), part.column(3)))
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(near), part.column(1).filter(near)], ["a", "b"])
+            ends = np.cumsum(np.diff(Column(batch.column(2)).offsets) + np.diff(Column(batch.column(3)).offsets))
+            at = 0
+            while at < batch.num_rows:  # slices of bounded size
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _VERIFIED, side="right")))
+                part = batch.slice(at, to - at)
+                one, two = (part.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+                near = _near(one, two, part.column(2), part.column(3))
+                yield pa.RecordBatch.from_arrays([pa.array(one[near]), pa.array(two[near])], ["a", "b"])
+                at = to
 
     return cut(both.mapInArrow(run, "a bigint, b bigint"))
 
@@ -187,24 +193,16 @@ def line_components(lines: DataFrame) -> DataFrame:
 
 
 def kept_lines(lines: DataFrame) -> DataFrame:
-    """``(k1, k2, kept)``, written: by document key, the numbers of the lines that stay; documents that keep none are absent."""
+    """``(k1, k2, kept)``, written: by key of the documents that lose a line, the numbers of those that stay; null if none does."""
     roots = line_components(lines)
     each = lines.select("doc_id", "k1", "k2", "no", "h1", "h2")
     joined = each.join(sized(cut(roots.withColumnRenamed("node", "h1"))), "h1", "left")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2", "no")
     x, y = F.coalesce("root", "h1").alias("x"), F.when(F.col("root").isNull(), F.col("h2")).alias("y")
     first = joined.select(x, y, order.alias("o")).groupBy("x", "y").agg(F.min("o").alias("o")).select("o.k1", "o.k2", "o.no")
-    return cut(first.groupBy("k1", "k2").agg(F.sort_array(F.collect_list("no")).alias("kept")))
-
-
-def _filled(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """The number of lines of each row that aren't blank."""
-    start = np.union1d(offsets[:-1][np.diff(offsets) > 0], np.flatnonzero(data == 10) + 1)
-    start = start[start < len(data)]
-    filled = np.zeros(len(data) + 1, np.int64)
-    np.cumsum(~SPACE[data], out=filled[1:])
-    some = filled[np.append(start[1:], len(data))] > filled[start] if len(start) else np.zeros(0, bool)
-    return np.bincount(np.searchsorted(offsets, start, side="right") - 1, weights=some, minlength=len(offsets) - 1).astype(np.int64)
+    kept = first.groupBy("k1", "k2").agg(F.sort_array(F.collect_list("no")).alias("kept"))
+    per = lines.groupBy("k1", "k2", "row").count().groupBy("k1", "k2").agg(F.max("count").alias("n"))
+    return cut(per.join(kept, ["k1", "k2"], "left").filter("kept is null or size(kept) < n").select("k1", "k2", "kept"))
 
 
 def _thinned(text: str, kept: list[int]) -> str:
@@ -222,32 +220,27 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with one line of each component left."""
     lines = lines_of(docs)
     kept = kept_lines(lines)
-    t, width = place(docs, "text"), len(docs.columns)
-    flat = keyed(docs).join(sized(kept, "32 + 4 * size(kept)"), ["k1", "k2"], "left")
+    t, names = place(docs, "text"), [f"_{i}" for i in range(len(docs.columns))]
+    flat = keyed(docs)
     repeated = cut(lines.groupBy("k1", "k2").agg(F.min("row").alias("lo"), F.max("row").alias("hi")).filter("lo <> hi").select("k1", "k2"))
     if repeated.limit(1).count():
         once = flat.join(sized(repeated), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
         flat = flat.join(sized(repeated), ["k1", "k2"], "left_anti").unionByName(once.select(*flat.columns))
-    flat = flat.select(*[f"_{i}" for i in range(width)], "kept")
+    whole = flat.join(sized(kept.select("k1", "k2")), ["k1", "k2"], "left_anti").select(*names)
+    some = kept.filter("kept is not null")
+    thin = flat.join(sized(some, "32 + 4 * size(kept)"), ["k1", "k2"]).select(*names, "kept")
     counted = [i for i, f in enumerate(docs.schema.fields) if f.name == "n_chars" and f.dataType.typeName() in ("long", "integer")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            col = Column(batch.column(t))
-            n = np.concatenate([_filled(data, off) for _, _, data, off in col.chunks()]) if len(col) else np.zeros(0, np.int64)
-            left = batch.column(width)
-            have = left.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            change = np.flatnonzero((have > 0) & (have < n))
-            new = [_thinned(text, k) for text, k in zip(batch.column(t).take(pa.array(change)).to_pylist(), left.take(pa.array(change)).to_pylist(), strict=True)]
-            arrays, mask = list(batch.columns[:width]), np.zeros(len(n), bool)
-            mask[change] = True
-            arrays[t] = pc.replace_with_mask(arrays[t], pa.array(mask), pa.array(new, arrays[t].type))
+            arrays = list(batch.columns[:-1])
+            new = [_thinned(text, k) for text, k in zip(arrays[t].to_pylist(), batch.column(len(names)).to_pylist(), strict=True)]
+            arrays[t] = pa.array(new, arrays[t].type)
             for i in counted:
-                arrays[i] = pc.replace_with_mask(arrays[i], pa.array(mask), pa.array([len(x) for x in new], arrays[i].type))
-            yield pa.RecordBatch.from_arrays(arrays, names).filter(pa.array((n == 0) | (have > 0)))
+                arrays[i] = pa.array([len(x) for x in new], arrays[i].type)
+            yield pa.RecordBatch.from_arrays(arrays, names)
 
-    names = [f"_{i}" for i in range(width)]
-    return flat.mapInArrow(run, flat.drop("kept").schema).toDF(*docs.columns)
+    return whole.unionByName(thin.mapInArrow(run, whole.schema)).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
