@@ -2,26 +2,32 @@
 
 Texts become ids of a public byte-level BPE vocabulary (a file; its path is a parameter).
 A shard gathers documents of one partition until it holds ``SHARD_TOKENS`` ids. In each
-round the pairs of neighbouring ids within documents are counted, the most frequent ones
-that can be replaced side by side (no id both ends one pair and begins another) become
-nonterminals, and all their occurrences are replaced, left to right; rounds go on until no
-pair occurs ``LEAST`` times or the grammar has ``RULES`` rules. Rules of the shard are
-stored as pairs of symbols, with each rule's expansion length, so ``decode`` can enter a
-document at any position: it finds the symbol that covers the position by the running sum
-of lengths and descends only into it.
+round the pairs of neighbouring symbols within documents are counted. Those that occur at
+least as often as the round's limit are taken if every symbol of them only ends or only
+begins pairs (a symbol does what its pairs weigh more for), so they can be replaced side by
+side, left to right. The limit starts at a share of the highest count, falls when a round
+finds few pairs, and ends at ``LEAST``: the grammar is complete when no pair is left twice.
+Places whose pair occurs once are not counted again until one of their symbols is replaced.
+
+Rules of the shard are stored as pairs of symbols, with each rule's expansion length, so
+``decode`` can enter a document at any position: it finds the symbol that covers the
+position by the running sum of lengths and descends only into it.
 
 Rows: ``kind`` ``rules`` (one a shard; ``n_ids`` is the number of rules, ``symbols`` the
-pairs, ``lengths`` the expansion lengths as uint32) and ``document`` (``n_ids`` ids,
-``symbols`` the shard's encoding of them). ``width`` is the number of bytes of a symbol,
-little-endian; terminals come first, nonterminals are numbered from ``base``.
+pairs, ``lengths`` the expansion lengths) and ``document`` (``n_ids`` ids, ``symbols`` the
+shard's encoding of them). Symbols take ``width`` bits each and lengths ``length_width``,
+lowest bit first; terminals come first, nonterminals are numbered from ``base``.
 
 Tokenising splits texts in pieces before white space that follows something else; the
 vocabulary's pattern never joins across such a place, so each distinct piece is tokenised
 once a worker and looked up afterwards. Pieces after Unicode spaces beyond ASCII aren't split.
+The vocabulary's file must be readable under its path by every worker.
 
-Cases: a null text gives null ``n_ids`` and ``symbols``; an empty text 0 ids; special tokens'
-strings are ordinary text; repeated rows are encoded each; a document longer than a shard is
-a shard; a partition without rows, and an empty table, give no rows.
+Cases: a null text gives null ``n_ids`` and ``symbols``; an empty text 0 ids; a null
+``doc_id`` stays null; special tokens' strings are ordinary text; repeated rows are encoded
+each; of symbols that begin as often as they end pairs (a tie) half, by a hash, do either;
+a document longer than a shard is a shard; a partition without rows, and an empty table,
+give no rows; columns other than ``doc_id`` and ``text`` aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -44,9 +50,9 @@ from .text import SPACE, Column, prefix_hash, span_hash
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SHARD_TOKENS = 1 << 21
-LEAST = 32
-RULES = 15_000
-PER_ROUND = 4_000
+LEAST = 2
+DROP = 16  # the limit falls by this factor …
+FEW = 0.03  # … when a round adds less than this share of the rules
 _SLOTS = 1 << 20
 _CACHE = 600_000
 _CHUNK = 1 << 22
@@ -111,74 +117,116 @@ def tokenize(data: np.ndarray, offsets: np.ndarray, path: str = VOCABULARY) -> t
     return table[at].astype(np.int64), np.bincount(piece_row, weights=n, minlength=len(offsets) - 1).astype(np.int64)
 
 
-def _choose(code: np.ndarray, room: int, least: int) -> np.ndarray:
-    """Codes of the pairs to replace now: frequent ones, most frequent first, that can't overlap each other."""
-    code, n = np.unique(code, return_counts=True)
-    often = np.flatnonzero(n >= least)
-    often = often[np.lexsort((code[often], -n[often]))]
-    firsts: set[int] = set()
-    seconds: set[int] = set()
-    out = []
-    for c in code[often[: 4 * PER_ROUND]].tolist():
-        a, b = c >> 32, c & 0xFFFFFFFF
-        if a in seconds or b in firsts or (a == b and (a in firsts or a in seconds)):
-            continue
-        firsts.add(a)
-        seconds.add(b)
-        out.append(c)
-        if len(out) >= min(room, PER_ROUND):
-            break
-    return np.array(out, np.int64)
+def _slot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    slot = a * np.uint32(0x9E3779B1) ^ b * np.uint32(0x85EBCA77)
+    slot ^= slot >> np.uint32(15)
+    return slot & np.uint32(_SLOTS - 1)
+
+
+def _split(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (code >> np.uint64(32)).astype(np.uint32), code.astype(np.uint32)
+
+
+def _choose(pairs: np.ndarray, count: np.ndarray, size: int, turn: int) -> np.ndarray:
+    """Those of the frequent pairs that can't overlap each other, one at least; each has its own slot."""
+    x, y = _split(pairs)
+    twin = x == y
+    begins, ends = (np.bincount(s[~twin], weights=count[~twin], minlength=size) for s in (x, y))
+    coin = ((np.arange(size, dtype=np.uint32) + np.uint32(turn * 7_919)) * np.uint32(0x9E3779B1) >> np.uint32(16)) & np.uint32(1)
+    role = np.where((begins > ends) | ((begins == ends) & (coin == 1)), 1, 2)
+    t = x[twin]
+    role[t[count[twin] >= np.maximum(begins[t], ends[t])]] = 3
+    top = int(count.argmax())
+    role[y[top]], role[x[top]] = (3, 3) if twin[top] else (2, 1)
+    chosen = pairs[np.where(twin, role[x] == 3, (role[x] == 1) & (role[y] == 2))]
+    _, own = np.unique(_slot(*_split(chosen)), return_index=True)
+    return chosen[np.sort(own)]
 
 
-def compress(ids: np.ndarray, counts: np.ndarray, base: int, least: int = LEAST, rules: int = RULES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, counts: np.ndarray, base: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols end to end, symbols per row, rule pairs (n, 2)). Pairs never cross rows."""
-    row = np.repeat(np.arange(len(counts)), counts)
-    seq = ids.astype(np.int64)
+    seq = ids.astype(np.uint32)
+    last = np.zeros(len(seq), bool)
+    last[np.cumsum(counts[counts > 0]) - 1] = True
+    live = ~last  # places that begin a pair which may occur again
     made: list[np.ndarray] = []
-    n_rules = 0
-    while len(seq) > 1 and n_rules < rules:
-        a, b = seq[:-1], seq[1:]
-        inside = row[:-1] == row[1:]
-        slot = ((a * 0x9E3779B1 ^ b * 0x85EBCA77) >> 7) & (_SLOTS - 1)
-        often = np.bincount(slot[inside], minlength=_SLOTS) >= least
-        at = np.flatnonzero(often[slot] & inside)
-        code = a[at] << 32 | b[at]
-        chosen = _choose(code, rules - n_rules, least)
-        if not len(chosen):
-            break
-        rank = np.argsort(chosen)
-        spot = np.minimum(np.searchsorted(chosen[rank], code), len(chosen) - 1)
-        hit = chosen[rank][spot] == code
-        at, new = at[hit], base + n_rules + rank[spot[hit]]
-        twin = seq[at] == seq[at + 1]
-        if twin.any():  # in runs of one id only every other place begins a pair
-            t = at[twin]
+    n_rules, limit, turn = 0, 0, 0
+    while live.any():
+        turn += 1
+        at = np.flatnonzero(live)
+        a, b = seq[at], seq[at + 1]
+        slot = _slot(a, b)
+        in_slot = np.bincount(slot, minlength=_SLOTS).astype(np.int32)
+        limit = limit or max(int(in_slot.max()) // DROP, least)
+        in_slot = in_slot[slot]
+        live[at[in_slot < least]] = False
+        often = np.flatnonzero(in_slot >= limit)
+        code = a[often].astype(np.uint64) << np.uint64(32) | b[often]
+        pairs, count = np.unique(code, return_counts=True)
+        pairs, count = pairs[count >= limit], count[count >= limit]
+        if not len(pairs):
+            if limit <= least:
+                break
+            limit = max(limit // DROP, least)
+            continue
+        chosen = _choose(pairs, count, base + n_rules, turn)
+        table = np.full(_SLOTS, -1, np.int32)
+        table[_slot(*_split(chosen))] = np.arange(len(chosen), dtype=np.int32)
+        which = table[slot[often]]
+        hit = np.flatnonzero(which >= 0)
+        hit = hit[chosen[which[hit]] == code[hit]]
+        place, which = at[often[hit]], which[hit]
+        twin = np.flatnonzero(seq[place] == seq[place + 1])
+        if len(twin):  # in runs of one id only every other place begins a pair
+            t = place[twin]
             head = np.ones(len(t), bool)
             head[1:] = t[1:] != t[:-1] + 1
             run = np.maximum.accumulate(np.where(head, np.arange(len(t)), 0))
-            odd = (np.arange(len(t)) - run) % 2 == 1
-            keep = np.ones(len(at), bool)
-            keep[np.flatnonzero(twin)[odd]] = False
-            at, new = at[keep], new[keep]
-        seq[at] = new
+            keep = np.ones(len(place), bool)
+            keep[twin[(np.arange(len(t)) - run) % 2 == 1]] = False
+            place, which = place[keep], which[keep]
+        seq[place] = (base + n_rules + which).astype(np.uint32)
+        last[place] = last[place + 1]
+        before = place[place > 0] - 1
+        live[place], live[before] = ~last[place], ~last[before]
         stay = np.ones(len(seq), bool)
-        stay[at + 1] = False
-        seq, row = seq[stay], row[stay]
-        made.append(np.stack([chosen >> 32, chosen & 0xFFFFFFFF], axis=1))
+        stay[place + 1] = False
+        seq, last, live = seq[stay], last[stay], live[stay]
+        made.append(chosen)
         n_rules += len(chosen)
-    pairs = np.concatenate(made) if made else np.zeros((0, 2), np.int64)
-    return seq, np.bincount(row, minlength=len(counts)), pairs
+        if len(chosen) < FEW * n_rules:
+            limit = max(limit // DROP, least)
+    per = np.zeros(len(counts), np.int64)
+    per[counts > 0] = np.diff(np.append(-1, np.flatnonzero(last)))
+    x, y = _split(np.concatenate(made) if made else np.zeros(0, np.uint64))
+    return seq.astype(np.int64), per, np.stack([x, y], axis=1).astype(np.int64)
 
 
 def expansion_lengths(pairs: np.ndarray, base: int) -> np.ndarray:
     """Ids that each rule expands to; a rule only names earlier ones."""
     out = np.zeros(len(pairs), np.int64)
-    for i, (a, b) in enumerate(pairs.tolist()):
-        out[i] = (out[a - base] if a >= base else 1) + (out[b - base] if b >= base else 1)
+    inner = pairs >= base
+    todo = np.arange(len(pairs))
+    while len(todo):  # rules whose parts are known, level by level
+        parts = np.where(inner[todo], out[np.where(inner[todo], pairs[todo] - base, 0)], 1)
+        known = (parts > 0).all(1)
+        out[todo[known]] = parts[known].sum(1)
+        todo = todo[~known]
     return out
 
 
+def pack_bits(values: np.ndarray, width: int) -> np.ndarray:
+    """One byte (0 or 1) for each of the lowest ``width`` bits of each value, lowest first."""
+    return np.unpackbits(values.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :width].ravel()
+
+
+def unpack(raw: bytes, width: int) -> np.ndarray:
+    """The values of ``width`` bits (8 at least) that ``raw`` holds."""
+    bits = np.unpackbits(np.frombuffer(raw, np.uint8), bitorder="little")
+    n = len(bits) // width
+    return bits[: n * width].reshape(n, width) @ (1 << np.arange(width, dtype=np.int64))
+
+
 def decode(symbols: np.ndarray, pairs: np.ndarray, lengths: np.ndarray, base: int, start: int = 0, count: int | None = None) -> list[int]:
     """``count`` ids of a document from position ``start`` on (default: to its end), expanding only what they need."""
     symbols = symbols.astype(np.int64)
@@ -207,18 +255,21 @@ def decode(symbols: np.ndarray, pairs: np.ndarray, lengths: np.ndarray, base: in
     return out
 
 
-def encode_documents(docs: DataFrame, path: str = VOCABULARY, shard_tokens: int = SHARD_TOKENS, least: int = LEAST) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str = VOCABULARY, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """The encoded shards of ``docs(doc_id, text)``."""
     id_type = kind(docs, "doc_id")
-    names = ["shard", "kind", "doc_id", "n_ids", "base", "width", "symbols", "lengths"]
+    names = ["shard", "kind", "doc_id", "n_ids", "base", "width", "length_width", "symbols", "lengths"]
 
     def shard(name: str, ids: pa.Array, valid: np.ndarray, tokens: list[np.ndarray], counts: np.ndarray, base: int) -> Iterator[pa.RecordBatch]:
         flat = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
-        symbols, per, pairs = compress(flat, counts, base, least)
-        width = 2 if base + len(pairs) <= 1 << 16 else 4
-        as_bytes = lambda x: x.astype("<u2" if width == 2 else "<u4").tobytes()
-        ends = np.cumsum(per)
-        packed = [as_bytes(symbols[e - p : e]) if ok else None for e, p, ok in zip(ends.tolist(), per.tolist(), valid.tolist(), strict=True)]
+        symbols, per, pairs = compress(flat, counts, base)
+        lengths = expansion_lengths(pairs, base)
+        width = max(8, (base + len(pairs) - 1).bit_length())
+        length_width = max(8, int(lengths.max(initial=0)).bit_length())
+        bits = pack_bits(symbols, width)
+        ends = np.cumsum(per) * width
+        packed = [np.packbits(bits[e - p : e], bitorder="little").tobytes() if ok else None for e, p, ok in zip(ends.tolist(), (per * width).tolist(), valid.tolist(), strict=True)]
+        rules, sizes = (np.packbits(pack_bits(v, w), bitorder="little").tobytes() for v, w in ((pairs.ravel(), width), (lengths, length_width)))
         n = len(ids) + 1
         yield pa.RecordBatch.from_arrays(
             [
@@ -228,8 +279,9 @@ def encode_documents(docs: DataFrame, path: str = VOCABULARY, shard_tokens: int
                 pa.array(np.append(len(pairs), counts), mask=np.append(False, ~valid)),
                 pa.array(np.full(n, base, np.int32)),
                 pa.array(np.full(n, width, np.int32)),
-                pa.array([as_bytes(pairs.ravel()), *packed], pa.binary()),
-                pa.array([expansion_lengths(pairs, base).astype("<u4").tobytes(), *[None] * (n - 1)], pa.binary()),
+                pa.array(np.full(n, length_width, np.int32)),
+                pa.array([rules, *packed], pa.binary()),
+                pa.array([sizes, *[None] * (n - 1)], pa.binary()),
             ],
             names,
         )
@@ -254,7 +306,7 @@ def encode_documents(docs: DataFrame, path: str = VOCABULARY, shard_tokens: int
         if ids:
             yield from shard(f"{part}-{made}", pa.concat_arrays(ids), np.concatenate(valid), tokens, np.concatenate(counts), base)
 
-    schema = f"shard string, kind string, doc_id {id_type}, n_ids bigint, base int, width int, symbols binary, lengths binary"
+    schema = f"shard string, kind string, doc_id {id_type}, n_ids bigint, base int, width int, length_width int, symbols binary, lengths binary"
     return pick(docs, "doc_id", "text").mapInArrow(run, schema)
 
 
@@ -264,11 +316,10 @@ def decode_documents(encoded: DataFrame, start: int = 0, count: int | None = Non
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rules = pdf[pdf["kind"] == "rules"].iloc[0]
-        dtype = "<u2" if rules["width"] == 2 else "<u4"
-        pairs = np.frombuffer(rules["symbols"], dtype).astype(np.int64).reshape(-1, 2)
-        lengths = np.frombuffer(rules["lengths"], "<u4").astype(np.int64)
+        width = int(rules["width"])
+        pairs, lengths = unpack(rules["symbols"], width).reshape(-1, 2), unpack(rules["lengths"], int(rules["length_width"]))
         docs = pdf[pdf["kind"] == "document"]
-        ids = [None if s is None else decode(np.frombuffer(s, dtype), pairs, lengths, int(rules["base"]), start, count) for s in docs["symbols"]]
+        ids = [None if s is None else decode(unpack(s, width), pairs, lengths, int(rules["base"]), start, count) for s in docs["symbols"]]
         return pd.DataFrame({"doc_id": docs["doc_id"], "ids": pd.Series(ids, index=docs.index, dtype=object)})
 
     return encoded.groupBy("shard").applyInPandas(run, f"doc_id {id_type}, ids array<int>")

@@ -322,20 +322,58 @@ def test_repeated_rows_keep_their_lines_once(spark):
 # --- 7 Re-Pair
 
 
-def test_repair_round_trip(spark, weird):
+@pytest.mark.parametrize("shard", [20_000, repair.SHARD_TOKENS])
+def test_repair_round_trip(spark, weird, shard):
     enc, base = repair.encoder(repair.VOCABULARY)
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").unionByName(weird.filter("doc_id > 1").select((F.col("doc_id") + 10**6).alias("doc_id"), "text"))
-    coded = repair.encode_documents(docs, shard_tokens=20_000, least=4).cache()
+    coded = repair.encode_documents(docs, shard_tokens=shard).cache()
     want = {r.doc_id: r.text for r in docs.collect()}
     full = {r.doc_id: r.ids for r in repair.decode_documents(coded).collect()}
     assert all(full[i] is None if t is None else full[i] == enc.encode_ordinary(t) for i, t in want.items())
     part = {r.doc_id: r.ids for r in repair.decode_documents(coded, 7, 11).collect()}
     assert all(full[i] is None or part[i] == full[i][7:18] for i in want)
     size = coded.agg(F.sum(F.length("symbols"))).first()[0]
-    assert size < 2 * sum(len(v) for v in full.values() if v)
+    assert size < 1.5 * sum(len(v) for v in full.values() if v)
     for r in coded.filter("kind = 'rules'").collect():
-        pairs = np.frombuffer(r.symbols, "<u2" if r.width == 2 else "<u4").astype(int).reshape(-1, 2)
-        assert (np.frombuffer(r.lengths, "<u4") == repair.expansion_lengths(pairs, base)).all()
+        pairs = repair.unpack(r.symbols, r.width).reshape(-1, 2)
+        assert len(pairs) == r.n_ids and (pairs < base + np.arange(len(pairs))[:, None]).all()
+        assert (repair.unpack(r.lengths, r.length_width) == repair.expansion_lengths(pairs, base)).all()
+
+
+def plain_repair(rows):
+    """Symbols and rules left by replacing the most frequent pair, one at a time, until none occurs twice."""
+    rows, rules, new = [list(r) for r in rows], 0, 10**6
+    while True:
+        count = Counter()
+        for r in rows:
+            i = 0
+            while i < len(r) - 1:
+                count[r[i], r[i + 1]] += 1
+                i += 2 if i < len(r) - 2 and r[i] == r[i + 1] == r[i + 2] else 1
+        pair, n = max(count.items(), key=lambda x: x[1], default=(None, 0))
+        if n < 2:
+            return sum(map(len, rows)), rules
+        rules, new = rules + 1, new + 1
+        for k, r in enumerate(rows):
+            out, i = [], 0
+            while i < len(r):
+                hit = tuple(r[i : i + 2]) == pair
+                out.append(new if hit else r[i])
+                i += 2 if hit else 1
+            rows[k] = out
+
+
+def test_grammar_against_plain_repair():
+    rng = np.random.default_rng(7)
+    phrases = [list(rng.integers(0, 40, n)) for n in rng.integers(2, 12, 40)]
+    rows = [[int(s) for p in np.minimum(rng.geometric(0.08, 30), 40) for s in phrases[p - 1]] for _ in range(40)]
+    ids, counts = np.concatenate([np.array(r) for r in rows]), np.array([len(r) for r in rows])
+    symbols, per, pairs = repair.compress(ids, counts, 40)
+    want, rules = plain_repair(rows)
+    assert len(symbols) + 2 * len(pairs) <= 1.1 * (want + 2 * rules)
+    ends = np.cumsum(per)
+    left = Counter((a, b) for e, p in zip(ends, per) for a, b in zip(symbols[e - p : e - 1].tolist(), symbols[e - p + 1 : e].tolist()) if a != b)
+    assert max(left.values(), default=0) < 2
 
 
 def test_compress_runs_and_borders():
