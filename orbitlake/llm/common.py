@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
 from urllib.parse import urlparse
 
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +55,28 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _filesystem(uri: str):
+    """(file system, path) of a URI: the local one (None) for file:, otherwise what pyarrow resolves."""
+    u = urlparse(uri)
+    return (None, u.path) if u.scheme in ("", "file") else pyarrow.fs.FileSystem.from_uri(uri)
+
+
+def read_file(uri: str) -> bytes:
+    fs, path = _filesystem(uri)
+    with open(path, "rb") if fs is None else fs.open_input_stream(path) as stream:
+        return stream.read()
+
+
+def write_file(uri: str, data: bytes) -> None:
+    """Write a file under a name of its own and rename it, so that a task that runs again leaves the same file."""
+    fs, path = _filesystem(uri)
+    draft, folder = f"{path}.{uuid.uuid4().hex}.tmp", path.rpartition("/")[0]
+    os.makedirs(folder, exist_ok=True) if fs is None else fs.create_dir(folder)
+    with open(draft, "wb") if fs is None else fs.open_output_stream(draft) as stream:
+        stream.write(data)
+    os.replace(draft, path) if fs is None else fs.move(draft, path)
+
+
 def mark(spark: SparkSession) -> int:
     return len(_made.get(spark.sparkContext.applicationId, []))
 

@@ -1,56 +1,52 @@
 """Exact top-k search with an M-tree, best first (operator 9).
 
 Vectors are compared by Euclidean distance (on unit vectors that is the order of cosines).
-The index is a forest: each vector belongs to the shard of its nearest pivot, pivots being
-the vectors of the smallest hashes, one for every ``SHARD`` vectors but at most ``PIVOTS``
-(beyond, shards grow); each shard is an
-M-tree of paged nodes. A node keeps its routing object, its covering radius and, for every
-entry, the distance to that object (the parent distance), so ``|d(q, parent) - d(parent,
-entry)|`` bounds an entry's distance from below without computing it.
-
-All rows are queries. Each is first searched in its own shard, which gives it a k-th
-distance; then in every other shard whose covering radius lets it hold something closer.
-Searches of one shard run side by side: every query keeps its own best-first order of
-pages by lower bound and its own k-th distance, and stops when the next bound exceeds it;
-the queries that want the same page are served by one numpy product. Distances reported,
-and ties, are computed from the differences in float64.
-
-Result: ``(vec_id, rank, neighbor_id, distance)``, ``rank`` from 1 to k by distance, then by
-``neighbor_id``; a row isn't a neighbour of itself.
+The index is one M-tree, paged in the shared folder. Its upper nodes are shards: each
+vector belongs to that of its nearest pivot, pivots being the vectors of the smallest
+hashes, one for every ``SHARD`` vectors (or for every sqrt(n), where that is more, so that
+neither shards nor pivots outgrow a worker). A shard is a file that holds its own tree of
+nodes of ``PAGE`` entries. A node keeps its routing object, its covering radius and its
+entries' distances to that object (the parent distances), so ``|d(q, parent) - d(parent,
+entry)| - radius`` bounds an entry's distance from below without computing it.
+
+All rows are queries, taken a part of a shard at a time and beginning there; then come
+the other shards in order of their lower bounds, each read only if for some query its bound
+is below the k-th distance so far. Within a shard every query descends by its own bounds,
+computes no distance to a node that they exclude, and visits the leaves left to it best
+first, until the next bound exceeds its k-th distance; the queries that want the same node
+are served by one numpy product. Distances reported, and ties, are computed from the
+differences in float64. Trees are built and written once, and queries are read from them,
+so vectors are shuffled once and never copied.
+
+Result: ``(vec_id, rank, neighbor_id, distance)``, ``rank`` from 1 to k by distance, at ties
+by ``neighbor_id``; a row isn't a neighbour of itself.
 
 Cases: a null vector, one with a null, NaN or infinite element, and one of another length
 than most vectors (ties: the longer) take no part; fewer than k other rows give as many; a
 null ``vec_id`` is a row like any other, last among ties; rows that repeat are neighbours
-of each other at distance 0; an empty table gives an empty table.
+of each other at distance 0, in whatever number; columns other than the two aren't read,
+whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import io
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, kind, pick
+from .common import cut, kind, pick, read_file, scratch_path, write_file
 
 K = 10
 SHARD = 8_192
 PAGE = 256
+FANOUT = 16
 QUERIES = 4_096
-PIVOTS = 20_000
-SLACK = 1e-7
-
-
-class Node:
-    """A page: routing object, covering radius, entries (rows of the shard or child nodes) and their parent distances."""
-
-    __slots__ = ("at", "radius", "rows", "children", "parent")
-
-    def __init__(self, at: np.ndarray, radius: float, rows: np.ndarray | None, children: list[Node], parent: np.ndarray):
-        self.at, self.radius, self.rows, self.children, self.parent = at, radius, rows, children, parent
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -59,23 +55,40 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(d, 0))
 
 
-def _leaf(x: np.ndarray, rows: np.ndarray) -> Node:
-    at = x[rows].mean(0)
-    at = x[rows[np.linalg.norm(x[rows] - at, axis=1).argmin()]]
-    d = np.linalg.norm(x[rows] - at, axis=1)
-    order = np.argsort(d, kind="stable")
-    return Node(at, float(d.max()), rows[order], [], d[order])
+def _slack(*parts: np.ndarray) -> float:
+    """More than ``distances`` errs by."""
+    return 1e-7 * (1 + max(math.sqrt(float(np.einsum("ij,ij->i", p, p).max(initial=0))) for p in parts))
+
+
+class Tree:
+    """Rows in order of leaves, and nodes, the root first, each with the range of its rows (leaves) or nodes.
+
+    ``rid`` names the rows; ``to_leaf`` and ``to_parent`` are the parent distances of rows and nodes.
+    """
+
+    FIELDS = ("x", "rid", "to_leaf", "at", "radius", "to_parent", "begin", "end", "leaf")
 
+    def __init__(self, x, rid, to_leaf, at, radius, to_parent, begin, end, leaf):
+        self.x, self.rid, self.to_leaf, self.at, self.radius, self.to_parent, self.begin, self.end, self.leaf = x, rid, to_leaf, at, radius, to_parent, begin, end, leaf
 
-def build(x: np.ndarray, page: int = PAGE) -> Node | None:
-    """Bulk-load an M-tree over the rows of ``x`` by splitting between two far objects until a page holds the part."""
-    if not len(x):
-        return None
+    def dump(self) -> bytes:
+        out = io.BytesIO()
+        np.savez(out, **{f: getattr(self, f) for f in self.FIELDS})
+        return out.getvalue()
+
+    @classmethod
+    def load(cls, raw: bytes) -> Tree:
+        with np.load(io.BytesIO(raw)) as z:
+            return cls(*(z[f] for f in cls.FIELDS))
+
+
+def build(x: np.ndarray, rid: np.ndarray, page: int = PAGE) -> Tree:
+    """Bulk-load an M-tree over the rows of ``x``, splitting between two far objects until a page holds the part."""
     leaves, todo = [], [np.arange(len(x))]
     while todo:
         rows = todo.pop()
         if len(rows) <= page:
-            leaves.append(_leaf(x, rows))
+            leaves.append(rows)
             continue
         one = x[rows[np.linalg.norm(x[rows] - x[rows[0]], axis=1).argmax()]]
         d = np.linalg.norm(x[rows] - one, axis=1)
@@ -83,82 +96,102 @@ def build(x: np.ndarray, page: int = PAGE) -> Node | None:
         order = np.argsort(d - np.linalg.norm(x[rows] - two, axis=1), kind="stable")
         half = len(rows) // 2
         todo += [rows[order[:half]], rows[order[half:]]]
-    level = leaves
-    while len(level) > 1:
-        parents = []
-        for i in range(0, len(level), 16):
-            group = level[i : i + 16]
-            at = group[0].at
-            d = np.array([np.linalg.norm(g.at - at) for g in group])
-            parents.append(Node(at, float(max(dd + g.radius for dd, g in zip(d, group, strict=True))), None, group, d))
-        level = parents
-    return level[0]
-
-
-def _pages(node: Node, q: np.ndarray, d_node: np.ndarray, limit: np.ndarray, out: list) -> None:
-    """Leaves below ``node`` with each query's lower bound; children that the bounds exclude for all aren't computed."""
-    low = np.maximum(d_node - node.radius, 0)
-    if node.rows is not None:
-        out.append((node, low, d_node))
-        return
-    for child, to_parent in zip(node.children, node.parent, strict=True):
-        if (np.abs(d_node - to_parent) - child.radius > limit).all():
+    order, to_leaf, level, row = [], [], [], 0
+    for rows in leaves:
+        at = x[rows[np.linalg.norm(x[rows] - x[rows].mean(0), axis=1).argmin()]]
+        d = np.linalg.norm(x[rows] - at, axis=1)
+        near = np.argsort(d, kind="stable")
+        order.append(rows[near])
+        to_leaf.append(d[near])
+        level.append((at, float(d.max()), row, row + len(rows), True))
+        row += len(rows)
+    levels = [level]
+    while len(levels[-1]) > 1:
+        below, above = levels[-1], []
+        for i in range(0, len(below), FANOUT):
+            group = below[i : i + FANOUT]
+            radius = max(float(np.linalg.norm(g[0] - group[0][0])) + g[1] for g in group)
+            above.append((group[0][0], radius, i, i + len(group), False))
+        levels.append(above)
+    levels.reverse()
+    starts = np.cumsum([0, *map(len, levels)])
+    nodes = [(at, r, b if leaf else b + starts[depth + 1], e if leaf else e + starts[depth + 1], leaf) for depth, group in enumerate(levels) for at, r, b, e, leaf in group]
+    at = np.stack([n[0] for n in nodes])
+    to_parent = np.zeros(len(nodes))
+    for n, (_, _, b, e, leaf) in enumerate(nodes):
+        if not leaf:
+            to_parent[b:e] = np.linalg.norm(at[b:e] - at[n], axis=1)
+    order = np.concatenate(order)
+    radius, begin, end, leaf = (np.array([n[i] for n in nodes]) for i in range(1, 5))
+    return Tree(x[order], rid[order], np.concatenate(to_leaf), at, radius, to_parent, begin, end, leaf)
+
+
+class Best:
+    """The k nearest rows so far of each query, and its k-th distance."""
+
+    def __init__(self, q: np.ndarray, rid: np.ndarray, k: int):
+        self.q, self.rid, self.k = q, rid, k
+        self.d, self.r = np.full((len(q), k), np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
+        self.bound, self.computed = np.full(len(q), np.inf), 0
+
+    def merge(self, who: np.ndarray, r: np.ndarray, d: np.ndarray) -> None:
+        touched = np.unique(who)
+        w = np.concatenate([who, np.repeat(touched, self.k)])
+        r = np.concatenate([r, self.r[touched].ravel()])
+        v = np.concatenate([d, self.d[touched].ravel()])
+        o = np.lexsort((r, v, w))
+        take = np.searchsorted(w[o], touched)[:, None] + np.arange(self.k)[None, :]
+        self.d[touched], self.r[touched] = v[o][take], r[o][take]
+        self.bound[touched] = self.d[touched, -1]
+
+
+def search(tree: Tree, best: Best) -> None:
+    """Take the rows of ``tree`` into ``best``."""
+    q, slack = best.q, _slack(best.q, tree.x)
+    everyone = np.arange(len(q))
+    open_, leaves = [(0, everyone, distances(q, tree.at[:1])[:, 0])], []
+    best.computed += len(q)
+    while open_:
+        node, who, d = open_.pop()
+        low = d - tree.radius[node]
+        stay = low <= best.bound[who] + slack
+        who, d, low = who[stay], d[stay], low[stay]
+        if not len(who):
             continue
-        _pages(child, q, distances(q, child.at[None, :])[:, 0], limit, out)
-
-
-def search(root: Node, x: np.ndarray, q: np.ndarray, own: np.ndarray, k: int, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(distance, row) of the k nearest rows to each query within ``limit``, padded with (inf, -1).
-
-    ``own``: the query's own row in the shard, or -1. Ties go to the smaller row.
-    """
-    n = len(q)
-    best_d, best_r = np.full((n, k), np.inf), np.full((n, k), -1)
-    leaves: list = []
-    _pages(root, q, distances(q, root.at[None, :])[:, 0], limit + SLACK, leaves)
+        if tree.leaf[node]:
+            leaves.append((np.full(len(who), node), who, d, low))
+            continue
+        for child in range(tree.begin[node], tree.end[node]):
+            may = np.abs(d - tree.to_parent[child]) - tree.radius[child] <= best.bound[who] + slack
+            some = who[may]
+            if len(some):
+                open_.append((child, some, distances(q[some], tree.at[child : child + 1])[:, 0]))
+                best.computed += len(some)
     if not leaves:
-        return best_d, best_r
-    low = np.stack([b for _, b, _ in leaves], axis=1)
-    order = np.argsort(low, axis=1, kind="stable")
-    bound = limit.copy()
-    active = np.arange(n)
-    for step in range(len(leaves)):
-        page = order[active, step]
-        alive = low[active, page] <= bound[active] + SLACK
-        active, page = active[alive], page[alive]
-        if not len(active):
-            break
-        for p in np.unique(page).tolist():
-            who = active[page == p]
-            node, _, d_parent = leaves[p]
-            reach = bound[who] + SLACK
-            lo, hi = d_parent[who] - reach, d_parent[who] + reach
-            a = np.searchsorted(node.parent, lo.min(), side="left")
-            b = np.searchsorted(node.parent, hi.max(), side="right")
-            rows = node.rows[a:b]
-            if not len(rows):
-                continue
-            d = distances(q[who], x[rows])
-            d[rows[None, :] == own[who][:, None]] = np.inf
-            w, c = np.nonzero((d <= reach[:, None]) & np.isfinite(d))
-            if not len(w):
-                continue
-            exact = np.sqrt(((q[who[w]] - x[rows[c]]) ** 2).sum(1))
-            _merge(best_d, best_r, bound, who[w], rows[c], exact, k, limit)
-    return best_d, best_r
-
-
-def _merge(best_d, best_r, bound, who, rows, d, k, limit) -> None:
-    touched = np.unique(who)
-    w = np.concatenate([who, np.repeat(touched, k)])
-    r = np.concatenate([rows, best_r[touched].ravel()])
-    v = np.concatenate([d, best_d[touched].ravel()])
-    o = np.lexsort((np.where(r >= 0, r, np.iinfo(np.int64).max), v, w))
-    w, r, v = w[o], r[o], v[o]
-    first = np.searchsorted(w, touched)
-    take = first[:, None] + np.arange(k)[None, :]
-    best_d[touched], best_r[touched] = v[take], r[take]
-    bound[touched] = np.minimum(limit[touched], best_d[touched, k - 1])
+        return
+    page, who, d, low = map(np.concatenate, zip(*leaves, strict=True))
+    order = np.lexsort((low, who))
+    page, who, d, low = page[order], who[order], d[order], low[order]
+    turn = np.arange(len(who)) - np.searchsorted(who, who)
+    order = np.lexsort((page, turn))
+    page, who, d, low, turn = page[order], who[order], d[order], low[order], turn[order]
+    cuts = np.flatnonzero((np.diff(turn) != 0) | (np.diff(page) != 0)) + 1
+    for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(who)], strict=True):
+        alive = low[lo:hi] <= best.bound[who[lo:hi]] + slack
+        some, far = who[lo:hi][alive], d[lo:hi][alive]
+        if not len(some):
+            continue
+        first, reach = int(tree.begin[page[lo]]), best.bound[some] + slack
+        inside = tree.to_leaf[first : tree.end[page[lo]]]
+        begin = first + int(np.searchsorted(inside, (far - reach).min(), side="left"))
+        end = first + int(np.searchsorted(inside, (far + reach).max(), side="right"))
+        if begin >= end:
+            continue
+        found = distances(q[some], tree.x[begin:end])
+        best.computed += found.size
+        w, c = np.nonzero((found <= reach[:, None]) & (tree.rid[None, begin:end] != best.rid[some][:, None]))
+        if len(w):
+            best.merge(some[w], tree.rid[begin + c], np.sqrt(((q[some[w]] - tree.x[begin + c]) ** 2).sum(1)))
 
 
 def _vectors(table: DataFrame) -> DataFrame:
@@ -178,96 +211,81 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1).astype(np.float64) if n else np.zeros((0, 0))
 
 
-def _stack(values: pd.Series) -> np.ndarray:
-    return np.stack([np.asarray(v, dtype=np.float64) for v in values])
-
-
-def _assign(rows: DataFrame, n: int, shard: int) -> tuple[DataFrame, np.ndarray]:
-    """``(rid, v, s, d)`` with the nearest pivot and the distance to it, and the pivots."""
-    pivots = rows.orderBy(F.xxhash64("v", "rid")).limit(min(-(-n // shard), PIVOTS)).select("v").collect()
-    p = np.array([r["v"] for r in pivots], dtype=np.float64)
+def _assign(rows: DataFrame, n: int, shard: int) -> DataFrame:
+    """``(rid, v, s)``, written: each vector with its nearest pivot."""
+    spark = rows.sparkSession
+    chosen = rows.orderBy(F.xxhash64("v", "rid")).limit(-(-n // max(shard, math.isqrt(n)))).select("v").toArrow()
+    pivots = spark.sparkContext.broadcast(_matrix(chosen.column(0).combine_chunks()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, QUERIES):
                 part = batch.slice(at, QUERIES)
-                x = _matrix(part.column(1))
-                near = distances(x, p).argmin(1)
-                d = np.linalg.norm(x - p[near], axis=1)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(near.astype(np.int64)), pa.array(d)], ["rid", "v", "s", "d"])
+                near = distances(_matrix(part.column(1)), pivots.value).argmin(1)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(near.astype(np.int64))], ["rid", "v", "s"])
 
-    kind_ = rows.schema["v"].dataType.simpleString()
-    return cut(rows.select("rid", "v").mapInArrow(run, f"rid bigint, v {kind_}, s bigint, d double")), p
+    return cut(rows.select("rid", "v").mapInArrow(run, f"rid bigint, v {rows.schema['v'].dataType.simpleString()}, s bigint"))
 
 
-def _route(bounded: DataFrame, p: np.ndarray, radius: np.ndarray) -> DataFrame:
-    """``(rid, v, bound, s)``: each query with every other shard that may hold something within its bound."""
+def _shards(placed: DataFrame, shard: int) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Build and write the shards' trees: paths, root objects, root radii, sizes. A crowded pivot (copies) gets several shards."""
+    spark, folder = placed.sparkSession, scratch_path(placed.sparkSession)
+    crowd = {r["s"]: r["n"] for r in placed.groupBy("s").agg(F.count("*").alias("n")).collect()}
+    parts = spark.createDataFrame([(s, -(-n // (4 * shard))) for s, n in crowd.items()], "s bigint, parts bigint")
+    split = placed.join(F.broadcast(parts), "s").select("rid", "v", "s", F.pmod(F.xxhash64("rid"), "parts").alias("p"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, QUERIES):
-                part = batch.slice(at, QUERIES)
-                bound = part.column(3).to_numpy(zero_copy_only=False)
-                low = distances(_matrix(part.column(1)), p) - radius[None, :]
-                low[np.arange(len(bound)), part.column(2).to_numpy(zero_copy_only=False)] = np.inf
-                q, s = np.nonzero((low <= bound[:, None] + SLACK) & np.isfinite(low))
-                q = pa.array(q)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(q), part.column(1).take(q), part.column(3).take(q), pa.array(s)], ["rid", "v", "bound", "s"])
-
-    kind_ = bounded.schema["v"].dataType.simpleString()
-    return bounded.mapInArrow(run, f"rid bigint, v {kind_}, bound double, s bigint")
-
-
-def _searcher(k: int):
-    def run(queries: pd.DataFrame, data: pd.DataFrame) -> pd.DataFrame:
-        parts = [pd.DataFrame({"q": np.zeros(0, np.int64), "r": np.zeros(0, np.int64), "d": np.zeros(0)})]
-        if len(queries) and len(data):
-            data = data.sort_values("rid", kind="stable")
-            x, rid = _stack(data["v"]), data["rid"].to_numpy()
-            root = build(x)
-            for lo in range(0, len(queries), QUERIES):
-                some = queries.iloc[lo : lo + QUERIES]
-                qid = some["rid"].to_numpy()
-                spot = np.minimum(np.searchsorted(rid, qid), len(rid) - 1)
-                own = np.where(rid[spot] == qid, spot, -1)
-                d, r = search(root, x, _stack(some["v"]), own, k, some["bound"].to_numpy())
-                hit = r >= 0
-                parts.append(pd.DataFrame({"q": np.repeat(qid, hit.sum(1)), "r": rid[r[hit]], "d": d[hit]}))
-        return pd.concat(parts)
-
-    return run
-
-
-def top_k(table: DataFrame, k: int = K, shard: int = SHARD) -> DataFrame:
-    """Exact k nearest neighbours of every row of ``table(vec_id, embedding)``."""
-    id_type = kind(table, "vec_id")
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rid", kind="stable")
+        tree = build(np.stack([np.asarray(v, np.float64) for v in pdf["v"]]), pdf["rid"].to_numpy())
+        path = f"{folder}/{key[0]}-{key[1]}.npz"
+        write_file(path, tree.dump())
+        return pd.DataFrame({"path": [path], "at": [tree.at[0].tolist()], "radius": [float(tree.radius[0])], "n": [len(tree.rid)]})
+
+    made = cut(split.groupBy("s", "p").applyInPandas(run, "path string, at array<double>, radius double, n bigint")).orderBy("path").toArrow()
+    return made.column("path").to_pylist(), _matrix(made.column("at").combine_chunks()), made.column("radius").to_numpy(), made.column("n").to_numpy()
+
+
+def top_k(table: DataFrame, k: int = K, shard: int = SHARD, computed=None) -> DataFrame:
+    """Exact k nearest neighbours of every row of ``table(vec_id, embedding)``. ``computed``: an accumulator of distances computed."""
+    id_type, spark = kind(table, "vec_id"), table.sparkSession
     rows = _vectors(table)
     n = rows.count()
     if not n:
-        return rows.sparkSession.createDataFrame([], f"vec_id {id_type}, rank int, neighbor_id {id_type}, distance double")
-    placed, pivots = _assign(rows, n, shard)
-    radius = np.full(len(pivots), -np.inf)
-    for r in placed.groupBy("s").agg(F.max("d").alias("r")).collect():
-        radius[r["s"]] = r["r"]
-    schema = "q bigint, r bigint, d double"
-
-    def searched(queries: DataFrame, chunks: int) -> DataFrame:
-        """Queries against their shards; a shard's queries are dealt out to ``chunks`` tasks, each with the shard's tree."""
-        dealt = queries.withColumn("c", F.pmod(F.xxhash64("rid"), F.lit(chunks)).cast("int"))
-        data = placed.select("rid", "v", "s", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("c"))
-        return dealt.groupBy("s", "c").cogroup(data.groupBy("s", "c")).applyInPandas(_searcher(k), schema)
-
-    near = cut(searched(placed.select("rid", "v", "s", F.lit(float("inf")).alias("bound")), max(1, -(-shard // QUERIES))))
-    kth = near.groupBy("q").agg(F.count("*").alias("n"), F.max("d").alias("m")).select(F.col("q").alias("rid"), F.when(F.col("n") >= k, F.col("m")).alias("bound"))
-    bounded = placed.join(kth, "rid", "left").select("rid", "v", "s", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
-    far = searched(_route(bounded, pivots, radius), max(1, -(-n // (8 * QUERIES))))
-    found = near.unionByName(far)
-    rank = F.row_number().over(Window.partitionBy("q").orderBy("d", "r"))
-    best = found.withColumn("rank", rank).filter(F.col("rank") <= k)
+        return spark.createDataFrame([], f"vec_id {id_type}, rank int, neighbor_id {id_type}, distance double")
+    paths, at, radius, sizes = _shards(_assign(rows, n, shard), shard)
+    roots = spark.sparkContext.broadcast((paths, at, radius))
+    tasks = [(s, lo) for s, size in enumerate(sizes.tolist()) for lo in range(0, size, QUERIES)]
+    todo = spark.createDataFrame(tasks, "s bigint, lo bigint").repartitionByRange(min(len(tasks), 50_000), "s", "lo")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        paths, at, radius = roots.value
+        for batch in batches:
+            for s, lo in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                home = Tree.load(read_file(paths[s]))
+                best = Best(home.x[lo : lo + QUERIES], home.rid[lo : lo + QUERIES], k)
+                search(home, best)
+                low = distances(best.q, at) - radius[None, :]
+                low[:, s] = np.inf
+                best.computed += low.size
+                slack = _slack(best.q, at)
+                for other in np.argsort(low.min(0), kind="stable").tolist():
+                    if other != s and (low[:, other] <= best.bound + slack).any():
+                        some = np.flatnonzero(low[:, other] <= best.bound + slack)
+                        part = Best(best.q[some], best.rid[some], k)
+                        part.d, part.r, part.bound = best.d[some], best.r[some], best.bound[some]
+                        search(Tree.load(read_file(paths[other])), part)
+                        best.d[some], best.r[some], best.bound[some] = part.d, part.r, part.bound
+                        best.computed += part.computed
+                if computed is not None:
+                    computed.add(best.computed)
+                hit = np.isfinite(best.d)
+                rank = np.broadcast_to(np.arange(1, k + 1, dtype=np.int32), hit.shape)[hit]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(best.rid, hit.sum(1))), pa.array(rank), pa.array(best.r[hit]), pa.array(best.d[hit])], ["q", "rank", "r", "distance"])
+
+    found = todo.mapInArrow(run, "q bigint, rank int, r bigint, distance double")
     named = rows.select("rid", "vec_id")
     other = named.select(F.col("rid").alias("r"), F.col("vec_id").alias("neighbor_id"))
-    out = best.join(other, "r").join(named.withColumnRenamed("rid", "q"), "q")
-    return out.select("vec_id", "rank", "neighbor_id", F.col("d").alias("distance"))
+    return found.join(other, "r").join(named.withColumnRenamed("rid", "q"), "q").select("vec_id", "rank", "neighbor_id", "distance")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

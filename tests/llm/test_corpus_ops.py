@@ -493,6 +493,20 @@ def test_top_k_against_brute_force(spark):
     assert {(r.vec_id, r.rank): r.neighbor_id for r in mtree.top_k(df, 5, shard=50).collect()} == want
 
 
+def test_top_k_saves_distances_on_clusters(spark):
+    rng = np.random.default_rng(90)
+    x = (rng.normal(size=(40, 16))[:, None, :] * 20 + rng.normal(size=(40, 100, 16)) * 0.1).reshape(-1, 16) * 1_000  # norms of 80,000
+    x[:30] = x[0]
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id bigint, embedding array<double>")
+    computed = spark.sparkContext.accumulator(0)
+    got = {(r.vec_id, r.rank): (r.neighbor_id, r.distance) for r in mtree.top_k(df, 5, shard=400, computed=computed).collect()}
+    d = np.stack([np.sqrt(((x - r) ** 2).sum(1)) for r in x])
+    np.fill_diagonal(d, np.inf)
+    for i, order in enumerate(np.lexsort((np.broadcast_to(np.arange(len(x)), d.shape), d), axis=1)[:, :5]):
+        assert [got[i, k][0] for k in range(1, 6)] == order.tolist() and np.allclose([got[i, k][1] for k in range(1, 6)], d[i, order])
+    assert computed.value < 0.2 * len(x) ** 2
+
+
 # --- 10 packing
 
 
