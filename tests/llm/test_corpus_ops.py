@@ -133,6 +133,28 @@ def test_extensions_and_spans(spark):
     assert {r.id: r.equal for r in fingerprint.span_equal(bad).collect()} == {1: False, 2: None, 3: False}
 
 
+def test_longest_shared_prefix_and_suffix_of_all(spark):
+    rng = np.random.default_rng(21)
+    texts = ["", "", None]
+    for _ in range(60):  # prefixes, suffixes and both of earlier texts, up to some thousand characters
+        other = texts[int(rng.integers(0, len(texts)))] or ""
+        own = "".join(rng.choice(list("abc日"), int(rng.choice([0, 1, 5, 40, 900]))))
+        at = int(rng.integers(0, len(other) + 1))
+        texts.append([other[:at] + own, own + other[at:], other + own, other][int(rng.integers(0, 4))][:4000])
+    docs = docs_of(spark, [(k, t, "en", "s") for k, t in enumerate(texts)]).repartition(5)
+    common = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    for r in fingerprint.fingerprint_documents(docs).collect():
+        text = texts[r.doc_id]
+        if text is None:
+            assert (r.n_chars, r.exact_of, r.prefix_common, r.suffix_with) == (None,) * 4
+            continue
+        others = [t for t in texts if t is not None and t != text]
+        assert r.exact_of == texts.index(text) and r.n_chars == len(text)
+        for found, who, back in ((r.prefix_common, r.prefix_with, 1), (r.suffix_common, r.suffix_with, -1)):
+            assert found == max(common(text[::back], t[::back]) for t in others)
+            assert who is None if found == 0 else texts[who] != text and common(text[::back], texts[who][::back]) == found
+
+
 # --- 3 mixing
 
 
