@@ -37,11 +37,21 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def _hadoop(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def scratch_path(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     folder = f"{scratch_root(spark)}/orbitlake/{app}"
-    if app not in _made and urlparse(folder).scheme in ("", "file"):  # nothing can read them once the driver has ended
-        atexit.register(shutil.rmtree, urlparse(folder).path, ignore_errors=True)
+    if app not in _made:  # nothing can read them once the driver has ended
+        if urlparse(folder).scheme in ("", "file"):
+            atexit.register(shutil.rmtree, urlparse(folder).path, ignore_errors=True)
+        else:
+            fs, p = _hadoop(spark, folder)
+            fs.mkdirs(p)
+            fs.deleteOnExit(p)
     path = f"{folder}/{uuid.uuid4().hex}"
     _made.setdefault(app, []).append(path)
     return path
@@ -81,17 +91,16 @@ def mark(spark: SparkSession) -> int:
     return len(_made.get(spark.sparkContext.applicationId, []))
 
 
-def release(spark: SparkSession, since: int = 0) -> None:
-    """Delete the scratch tables made after ``mark``; results that still read them must have been written."""
+def release(spark: SparkSession, since: int = 0, keep: str | None = None) -> None:
+    """Delete the scratch tables made after ``mark`` but ``keep``; results that still read them must have been written."""
     paths = _made.get(spark.sparkContext.applicationId, [])
-    for path in paths[since:]:
+    for path in [p for p in paths[since:] if p != keep]:
         if urlparse(path).scheme in ("", "file"):
             shutil.rmtree(urlparse(path).path, ignore_errors=True)
         else:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    del paths[since:]
+            fs, p = _hadoop(spark, path)
+            fs.delete(p, True)
+    paths[since:] = [keep] if keep in paths[since:] else []
 
 
 def sized(df: DataFrame, size: str | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:

@@ -191,6 +191,45 @@ def test_language_held_out(spark):
     assert [r.predicted for r in language_id.identify(test.limit(3), language_id.fit(junk.withColumn("lang", F.lit(None).cast("string")))).collect()] == [None] * 3
 
 
+def test_language_against_plain_python(spark, weird):
+    """TF-IDF and cosines document by document with dictionaries."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").unionByName(weird.withColumn("doc_id", F.col("doc_id") + 10**6))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+
+    def grams(text):
+        raw = text.encode()
+        low = bytearray(b" " + raw.translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")) + b" ")
+        for i in range(1, len(low)):
+            if low[i - 1] == 0xC3 and 0x80 <= low[i] <= 0x9E and low[i] != 0x97:
+                low[i] += 32
+        low = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in low)
+        out = Counter()
+        for i in range(1, len(low) - 1):
+            if low[i] != 32:
+                code = (low[i - 1] << 16 | low[i] << 8 | low[i + 1]) * 2654435761 % 2**32
+                code = (code ^ code >> 15) * 2246822519 % 2**32
+                out[code >> 20] += 1
+        return out
+
+    counted = [grams(r.text or "") for r in docs.collect()]
+    df = Counter(b for c in counted for b in c)
+    model = language_id.fit(docs)
+    idf = {b: np.log((1 + len(counted)) / (1 + n)) + 1 for b, n in df.items()}
+    assert np.allclose([model.idf[b] for b in idf], list(idf.values()))
+    for r in language_id.identify(docs, model).collect():
+        tf = grams(texts[r.doc_id] or "")
+        n = sum(tf.values())
+        v = {b: np.log1p(k) * idf[b] for b, k in tf.items()}
+        norm = sum(w * w for w in v.values()) ** 0.5 or 1
+        cos = [sum(w * c[b] for b, w in v.items()) / norm for c in model.centroids]
+        score = max(cos) / (model.a * (n / (n + model.c)) ** 0.5) if n else 0.0
+        few, many = language_id.FEW, language_id.MANY
+        limit = language_id.ACCEPT + (model.strict - language_id.ACCEPT) * min(max((len(tf) - few) / (many - few), 0), 1)
+        assert abs(r.score - score) < 1e-4
+        if abs(score - limit) > 1e-4:
+            assert r.predicted == (model.languages[int(np.argmax(cos))] if score >= limit else None)
+
+
 @pytest.mark.parametrize("words", [200, 1_000, 5_000])
 def test_language_rejects_junk_of_any_length(spark, words):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
@@ -540,15 +579,30 @@ def test_hilbert_curve():
         assert (np.abs(np.diff(grid[np.argsort(key)], axis=0)).sum(1) == 1).all()
 
 
-def test_packs(spark, weird):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").unionByName(weird)
-    rows = sorted((r.pack_id, r.pack_start, r.doc_id, r.doc_start, r.n_tokens, r.curve_key) for r in packing.pack(docs.filter("doc_id is not null"), 256).collect())
-    assert all(b[:2] == ((a[0], a[1] + a[4]) if a[1] + a[4] < 256 else (a[0] + 1, 0)) for a, b in zip(rows, rows[1:])) and rows[0][:2] == (0, 0)
-    assert all(a[5] <= b[5] for a, b in zip(rows, rows[1:]))
-    total, want = {}, {}
-    for r in rows:
-        total[r[2]] = total.get(r[2], 0) + r[4]
-    for r in docs.filter("doc_id is not null").collect():
-        if n := len((r.text or "").split()):
-            want[r.doc_id] = want.get(r.doc_id, 0) + n + 1
-    assert total == want
+@pytest.mark.parametrize("length", [7, 256, packing.LENGTH])
+def test_packs_against_plain_python(spark, weird, length):
+    """Keys one document at a time, an ordinary sort, and packs filled token by token."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").unionByName(weird.withColumn("doc_id", F.col("doc_id") + 10**6))
+    held = [(r.doc_id, r.text, r.h) for r in docs.select("doc_id", "text", F.xxhash64("text").alias("h")).collect() if (r.text or "").split()]
+    at = np.concatenate([packing.project(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())])) for _, t, _ in held])
+    mean = [sum(c) / len(c) for c in at.T]
+    scale = [(sum((v - m) ** 2 for v in c) / len(c)) ** 0.5 for c, m in zip(at.T, mean)]
+    cells = [[min(int(min(max((v - m) / s / (2 * packing.SPREAD) + 0.5, 0), 1) * 2**packing.BITS), 2**packing.BITS - 1) for v, m, s in zip(x, mean, scale)] for x in at]
+    got = packing.pack(docs, length).collect()
+    key = {r.doc_id: r.curve_key for r in got}
+    same = [key[i] == int(packing.hilbert(np.array([c]))[0]) for (i, _, _), c in zip(held, cells)]
+    assert sum(same) >= 0.99 * len(held)  # sums in another order may tip a document over a cell's border
+    place, want = 0, []
+    for i, text, _ in sorted(held, key=lambda r: (key[r[0]], r[0] is None, r[0] or 0, r[2])):
+        n, done = len(text.split()) + 1, 0
+        while done < n:
+            take = min(n - done, length - place % length)
+            want.append((place // length, place % length, i, done, take))
+            place, done = place + take, done + take
+    got.sort(key=lambda r: (r.pack_id, r.pack_start))
+    assert [tuple(r)[:5] for r in got] == want
+    whole, size = {}, {i: len(t.split()) + 1 for i, t, _ in held}
+    for r in got:
+        whole[r.doc_id] = whole.get(r.doc_id, "") + r.text
+        assert len(r.text.split()) == r.n_tokens - (r.doc_start + r.n_tokens == size[r.doc_id])
+    assert whole == {i: t * sum(i == j for j, _, _ in held) for i, t, _ in held}
