@@ -37,3 +37,18 @@ def test_stages(spark, small):
 def test_run_is_repeatable(spark, small):
     a, b = (sorted(tuple(r) for r in cp.run(spark, small).collect()) for _ in range(2))
     assert a == b and a
+
+
+def test_run_on_awkward_tables(spark, tmp_path):
+    text = "alpha beta gamma delta epsilon zeta eta theta iota kappa "
+    rows = [(1, text * 3, "en", "s1", 1), (1, text * 3, "en", "s1", 1), (2, None, "en", "s1", 0), (3, "", None, None, 0), (None, text + "lambda mu nu xi", "en", None, 5), (4, text * 9_000, "en", "s1", 1), (5, " \n\t", "en", "s2", 3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").withColumns({c: F.lit(7) for c in ("copy_no", "k1", "kept", "_0", "row")})
+    for name, table in (("some", docs), ("none", docs.limit(0))):
+        table.write.parquet(str(tmp_path / name / "documents.parquet"))
+        stages = spark.read.parquet(str(tmp_path / name / "documents.parquet"))
+        for _, stage in cp.STAGES[:-1]:
+            stages = stage(spark, stages, "")
+            assert stages.columns == docs.columns
+        got = cp.run(spark, str(tmp_path / name)).collect()
+        assert {r.doc_id for r in got} <= {1, None, 4} and (name == "some") == bool(got)
+        assert all(len(r.text.split()) <= packing.LENGTH for r in got)
