@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
+import sys
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from urllib.parse import urlparse
 
+import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +20,9 @@ from pyspark.sql import functions as F
 #: Largest size of a side that is broadcast; beyond it the join shuffles.
 BROADCAST_BYTES = 16 << 20
 ROW_BYTES = 32
+#: Size of the Arrow batches in which texts go to Python workers and back.
+ARROW_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _made: dict[str, list[str]] = {}
 
 
@@ -57,11 +64,11 @@ def scratch_path(spark: SparkSession) -> str:
     return path
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, losing an executor costs nothing."""
     spark = df.sparkSession
     path = scratch_path(spark)
-    df.write.option("compression", "snappy").parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -125,7 +132,13 @@ def place(df: DataFrame, name: str) -> int:
 
 
 def positional(df: DataFrame) -> DataFrame:
-    """``df`` with columns renamed ``_0, _1, …``, so no column name can clash with another."""
+    """``df`` with columns renamed ``_0, _1, …``, so no column name can clash with another.
+
+    All operators begin here, so this is where Arrow batches are bounded by bytes, unless the application has set a bound.
+    """
+    spark = df.sparkSession
+    if not spark.sparkContext.getConf().contains(_BATCH):
+        spark.conf.set(_BATCH, str(ARROW_BYTES))
     return df.toDF(*[f"_{i}" for i in range(len(df.columns))])
 
 
@@ -137,3 +150,19 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
 
 def kind(df: DataFrame, name: str) -> str:
     return df.schema.fields[place(df, name)].dataType.simpleString()
+
+
+def thrifty(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for ``mapInArrow``, giving memory back to the system when a task ends (Python workers live on)."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux":
+                trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+                if trim is not None:
+                    trim(0)
+
+    return wrapped

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, thrifty
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -79,7 +79,7 @@ def components(edges: DataFrame, local: int = LOCAL) -> DataFrame:
     Every round is written to the shared folder. Self-links and repeated links are allowed
     (a node that is only linked to itself is left out); no edge gives an empty table.
     """
-    now = cut(edges.select("a", "b").mapInArrow(_contract, "a bigint, b bigint"))
+    now = cut(edges.select("a", "b").mapInArrow(thrifty(_contract), "a bigint, b bigint"))
     seen = _stamp(now)
     while seen[0] > local:
         now = cut(_small(_large(now)))
@@ -88,6 +88,6 @@ def components(edges: DataFrame, local: int = LOCAL) -> DataFrame:
             break
         seen = stamp
     else:
-        now = cut(now.coalesce(1).mapInArrow(_contract, "a bigint, b bigint"))
+        now = cut(now.coalesce(1).mapInArrow(thrifty(_contract), "a bigint, b bigint"))
     leaves = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return leaves.unionByName(leaves.select(F.col("root").alias("node"), "root").distinct())

@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, kind, pick, sized
+from .common import cut, kind, pick, sized, thrifty
 from .text import Column
 
 PRIMES = (2_147_483_647, 2_147_483_629)
@@ -163,7 +163,7 @@ def span_equal(pairs: DataFrame) -> DataFrame:
 
     flat = pick(pairs, "id", "a", "i", "b", "j", "length")
     flat = flat.select("id", "a", *[F.col(c).cast("bigint").alias(c) if c != "b" else "b" for c in ("i", "b", "j", "length")])
-    return flat.mapInArrow(run, f"id {kind(pairs, 'id')}, equal boolean")
+    return flat.mapInArrow(thrifty(run), f"id {kind(pairs, 'id')}, equal boolean")
 
 
 def common_extension(pairs: DataFrame) -> DataFrame:
@@ -186,7 +186,7 @@ def common_extension(pairs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(o, mask=none) for o in out]], ["id", "forward", "backward"])
 
     flat = pick(pairs, "id", "a", "i", "b", "j").selectExpr("id", "a", "cast(i as bigint) i", "b", "cast(j as bigint) j")
-    return flat.mapInArrow(run, f"id {kind(pairs, 'id')}, forward bigint, backward bigint")
+    return flat.mapInArrow(thrifty(run), f"id {kind(pairs, 'id')}, forward bigint, backward bigint")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -207,7 +207,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     names = ["doc_id", "k1", "k2", "n_chars", "fingerprint", "prefixes", "suffixes"]
     flat = keyed_texts(docs).select("doc_id", "k1", "k2", "text")
-    return cut(flat.mapInArrow(run, f"doc_id {kind(docs, 'doc_id')}, k1 bigint, k2 bigint, n_chars bigint, fingerprint bigint, prefixes array<bigint>, suffixes array<bigint>"))
+    return cut(flat.mapInArrow(thrifty(run), f"doc_id {kind(docs, 'doc_id')}, k1 bigint, k2 bigint, n_chars bigint, fingerprint bigint, prefixes array<bigint>, suffixes array<bigint>"))
 
 
 def keyed_texts(docs: DataFrame) -> DataFrame:
@@ -247,7 +247,7 @@ def _neighbours(texts: DataFrame, id_type: str) -> DataFrame:
     names = ["n_chars", "fingerprint", "doc_id", "part", "place", "common", "edge"]
     order = ["key", "n_chars", "fingerprint"]
     ranged = texts.select("n_chars", "fingerprint", "doc_id", "key").repartitionByRange(*order).sortWithinPartitions(*order)
-    laid = cut(ranged.mapInArrow(run, f"n_chars bigint, fingerprint bigint, doc_id {id_type}, part bigint, place bigint, common bigint, edge string"))
+    laid = cut(ranged.mapInArrow(thrifty(run), f"n_chars bigint, fingerprint bigint, doc_id {id_type}, part bigint, place bigint, common bigint, edge string"))
     ends = laid.filter("edge is not null").groupBy("part").agg(
         F.max("place").alias("place"), F.max_by(F.struct("doc_id", "edge"), "place").alias("last"), F.min_by("edge", "place").alias("first")
     )

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, place, sized
+from .common import cut, place, sized, thrifty
 from .components import components
 from .simhash import keyed
 from .text import Column, mix
@@ -158,13 +158,13 @@ def verify(pairs: DataFrame, text: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(one[near]), pa.array(two[near])], ["a", "b"])
                 at = to
 
-    return cut(both.mapInArrow(run, "a bigint, b bigint"))
+    return cut(both.mapInArrow(thrifty(run), "a bigint, b bigint"))
 
 
 def line_components(lines: DataFrame) -> DataFrame:
     """``(node, root)`` of the lines of ``lines_of`` (by hash ``h1``) that are similar to another."""
     names = [f"b{b}" for b in range(BANDS)]
-    banded = lines.select("h1", "line").mapInArrow(_banded, "h1 bigint, " + ", ".join(f"{n} bigint" for n in names))
+    banded = lines.select("h1", "line").mapInArrow(thrifty(_banded), "h1 bigint, " + ", ".join(f"{n} bigint" for n in names))
     buckets = banded.select("h1", F.explode(F.array(*names)).alias("bucket"))
     least = F.min("h1").over(Window.partitionBy("bucket"))
     star = cut(buckets.withColumn("m", least).filter("m <> h1").groupBy("bucket", "m", "h1").agg(F.lit(1).alias("one")).drop("one"))
@@ -240,7 +240,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
                 arrays[i] = pa.array([len(x) for x in new], arrays[i].type)
             yield pa.RecordBatch.from_arrays(arrays, names)
 
-    return whole.unionByName(thin.mapInArrow(run, whole.schema)).toDF(*docs.columns)
+    return whole.unionByName(thin.mapInArrow(thrifty(run), whole.schema)).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, kind, pick, read_file, scratch_path, write_file
+from .common import cut, kind, pick, read_file, scratch_path, thrifty, write_file
 
 K = 10
 SHARD = 8_192
@@ -224,7 +224,7 @@ def _assign(rows: DataFrame, n: int, shard: int) -> DataFrame:
                 near = distances(_matrix(part.column(1)), pivots.value).argmin(1)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(near.astype(np.int64))], ["rid", "v", "s"])
 
-    return cut(rows.select("rid", "v").mapInArrow(run, f"rid bigint, v {rows.schema['v'].dataType.simpleString()}, s bigint"))
+    return cut(rows.select("rid", "v").mapInArrow(thrifty(run), f"rid bigint, v {rows.schema['v'].dataType.simpleString()}, s bigint"))
 
 
 def _shards(placed: DataFrame, shard: int) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
@@ -282,7 +282,7 @@ def top_k(table: DataFrame, k: int = K, shard: int = SHARD, computed=None) -> Da
                 rank = np.broadcast_to(np.arange(1, k + 1, dtype=np.int32), hit.shape)[hit]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(best.rid, hit.sum(1))), pa.array(rank), pa.array(best.r[hit]), pa.array(best.d[hit])], ["q", "rank", "r", "distance"])
 
-    found = todo.mapInArrow(run, "q bigint, rank int, r bigint, distance double")
+    found = todo.mapInArrow(thrifty(run), "q bigint, rank int, r bigint, distance double")
     named = rows.select("rid", "vec_id")
     other = named.select(F.col("rid").alias("r"), F.col("vec_id").alias("neighbor_id"))
     return found.join(other, "r").join(named.withColumnRenamed("rid", "q"), "q").select("vec_id", "rank", "neighbor_id", "distance")

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, kind, pick, sized
+from .common import cut, kind, pick, sized, thrifty
 from .text import SPACE, Column, runs, slots, words
 
 BUCKETS = 512
@@ -104,7 +104,7 @@ def moments(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             x, n = _coordinates(Column(batch.column(0)))
             yield pa.RecordBatch.from_arrays([pa.array(x[n > 0, a]) for a in range(AXES)], axes)
 
-    table = pick(docs, "text").mapInArrow(run, ", ".join(f"{a} double" for a in axes))
+    table = pick(docs, "text").mapInArrow(thrifty(run), ", ".join(f"{a} double" for a in axes))
     stats = table.agg(*[F.avg(a) for a in axes], *[F.stddev_pop(a) for a in axes]).first()
     return np.array([v or 0.0 for v in stats[:AXES]]), np.array([v or 1.0 for v in stats[AXES:]])
 
@@ -164,14 +164,14 @@ def pack(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     names = ["pack_id", "pack_start", "doc_id", "doc_start", "n_tokens", "curve_key", "text"]
     order = ["curve_key", F.col("doc_id").isNull(), "doc_id", "h"]
-    keyed = cut(pick(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(key, fields))
+    keyed = cut(pick(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(thrifty(key), fields), "zstd")
     ranged = keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "n_tokens", "curve_key", "text")
-    laid = cut(ranged.mapInArrow(lay, f"doc_id {id_type}, n_tokens bigint, curve_key bigint, text string, start bigint, part bigint"))
+    laid = cut(ranged.mapInArrow(thrifty(lay), f"doc_id {id_type}, n_tokens bigint, curve_key bigint, text string, start bigint, part bigint"), "zstd")
     parts = laid.groupBy("part").agg(F.sum(F.col("n_tokens") + 1).alias("t"))
     before = F.coalesce(F.sum("t").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = cut(parts.select("part", before.alias("offset")))
     spans = laid.join(sized(offsets), "part").select("doc_id", "n_tokens", "curve_key", "text", (F.col("start") + F.col("offset")).alias("s"))
-    return spans.mapInArrow(split, f"pack_id bigint, pack_start bigint, doc_id {id_type}, doc_start bigint, n_tokens bigint, curve_key bigint, text string")
+    return spans.mapInArrow(thrifty(split), f"pack_id bigint, pack_start bigint, doc_id {id_type}, doc_start bigint, n_tokens bigint, curve_key bigint, text string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

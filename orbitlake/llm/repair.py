@@ -44,7 +44,7 @@ import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import kind, pick
+from .common import kind, pick, thrifty
 from .text import SPACE, Column, prefix_hash, span_hash
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -307,7 +307,7 @@ def encode_documents(docs: DataFrame, path: str = VOCABULARY, shard_tokens: int
             yield from shard(f"{part}-{made}", pa.concat_arrays(ids), np.concatenate(valid), tokens, np.concatenate(counts), base)
 
     schema = f"shard string, kind string, doc_id {id_type}, n_ids bigint, base int, width int, length_width int, symbols binary, lengths binary"
-    return pick(docs, "doc_id", "text").mapInArrow(run, schema)
+    return pick(docs, "doc_id", "text").mapInArrow(thrifty(run), schema)
 
 
 def decode_documents(encoded: DataFrame, start: int = 0, count: int | None = None) -> DataFrame:

@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import kind, pick
+from .common import kind, pick, thrifty
 from .text import Column, _lower
 
 #: name: (pattern valid for Python and RE2 alike, case-insensitive). Character classes are ASCII.
@@ -221,7 +221,7 @@ def scan(docs: DataFrame, rules: Mapping[str, tuple[str, bool]] = RULES) -> Data
                 ["doc_id", "rule", "start", "n_chars", "secret_sha256"],
             )
 
-    return pick(docs, "doc_id", "text").mapInArrow(run, f"doc_id {kind(docs, 'doc_id')}, rule string, start bigint, n_chars bigint, secret_sha256 string")
+    return pick(docs, "doc_id", "text").mapInArrow(thrifty(run), f"doc_id {kind(docs, 'doc_id')}, rule string, start bigint, n_chars bigint, secret_sha256 string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, kind, place, positional, sized
+from .common import cut, kind, place, positional, sized, thrifty
 from .components import components, forest
 from .text import Column, mix, prefix_hash, slots, span_hash, words
 
@@ -115,7 +115,7 @@ def fingerprint_table(docs: DataFrame) -> DataFrame:
             )
 
     cols = flat.select(F.col(i).alias("doc_id"), "k1", "k2", F.col(t).alias("text"))
-    return cut(cols.mapInArrow(run, f"doc_id {kind(docs, 'doc_id')}, {_SCHEMA}"))
+    return cut(cols.mapInArrow(thrifty(run), f"doc_id {kind(docs, 'doc_id')}, {_SCHEMA}"))
 
 
 def compare(left: tuple, right: tuple | None, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -216,7 +216,7 @@ def word_sets(texts: DataFrame) -> DataFrame:
                     lists.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(keys.view(np.int64))))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *lists], ["node", "once", "all"])
 
-    return texts.select("node", "text").mapInArrow(run, "node bigint, once array<bigint>, all array<bigint>")
+    return texts.select("node", "text").mapInArrow(thrifty(run), "node bigint, once array<bigint>, all array<bigint>")
 
 
 def alike(docs: DataFrame, distinct: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -41,7 +41,7 @@ import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import cut, pick, scratch_path
+from .common import cut, pick, scratch_path, thrifty
 
 READ_BYTES = 1 << 16
 BATCH_BYTES = 4 << 20
@@ -229,7 +229,7 @@ def read_warc(files: DataFrame) -> DataFrame:
                             rows, held = [], 0
                 yield _batch(rows)
 
-    return pick(files, "path").mapInArrow(run, SCHEMA)
+    return pick(files, "path").mapInArrow(thrifty(run), SCHEMA)
 
 
 def record(page_id: int | None, url: str | None, html: str | None) -> bytes:
@@ -274,7 +274,7 @@ def write_warc(pages: DataFrame, folder: str) -> DataFrame:
 
     flat = pick(pages, "page_id", "url", "html")
     flat = flat.selectExpr("cast(page_id as bigint) page_id", "cast(url as string) url", "cast(html as string) html")
-    return cut(flat.mapInArrow(run, "path string, records bigint"))
+    return cut(flat.mapInArrow(thrifty(run), "path string, records bigint"))
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
