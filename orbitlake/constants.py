@@ -16,3 +16,10 @@ PLATEAU_FRACTION = 0.20
 OZ_KMAX = 0.8  # 1/Å
 #: Femtoseconds in a time unit, by unit system.
 TIME_UNIT_FS = {"real": 1.0, "electron": 1.0, "metal": 1e3, "si": 1e15, "cgs": 1e15}
+#: Compositions at which fitted curves are marked.
+GUIDE_X = (1 / 3, 1 / 2, 1 / 4, 6 / 29)
+#: Energies and enthalpies (eV an atom) of the pure ends of the raw 1500 K tables, by pressure in GPa: (energy of A, of B, enthalpy of A, of B).
+RAW_ENDPOINTS = {
+    0: (-8.043070824, -6.434663479166667, -7.850557452, -6.2431970833333335),
+    10: (-8.071581312000001, -6.442256819444444, -7.1645288680000005, -5.804338159722223),
+}

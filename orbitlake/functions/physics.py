@@ -95,20 +95,36 @@ def pressure_gpa(stress: Column) -> Column:
     return -(F.get(stress, 0) + F.get(stress, 1) + F.get(stress, 2)) / 3 * F.lit(EV_A3_TO_GPA)
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _tokens(formula: Column) -> Column:
+    """Elements in order, as ``(s, n)``; a missing number is 1."""
+
+    def token(t: Column) -> Column:
+        symbol = F.regexp_replace(t, "[0-9]+", "")
+        digits = F.substring(t, F.length(symbol) + 1, F.length(t))
+        return F.struct(symbol.alias("s"), F.when(digits == "", F.lit(1).cast("bigint")).otherwise(F.coalesce(digits.try_cast("bigint"), F.lit(0).cast("bigint"))).alias("n"))
+
+    return F.transform(F.regexp_extract_all(formula, F.lit("[A-Z][a-z]?[0-9]*"), 0), token)
+
+
+def _total(tokens: Column, wanted=None) -> Column:
+    add = lambda a, t: a + (t["n"] if wanted is None else F.when(t["s"] == wanted, t["n"]).otherwise(0))
+    return F.aggregate(tokens, F.lit(0).cast("bigint"), add)
+
+
 def element_counts(formula: Column) -> Column:
     """Map element → count; a missing number is 1 and repeats add up."""
-    symbols = F.regexp_extract_all(formula, F.lit("([A-Z][a-z]?)([0-9]*)"), 1)
-    numbers = F.transform(F.regexp_extract_all(formula, F.lit("([A-Z][a-z]?)([0-9]*)"), 2), lambda n: F.when(n == "", 1).otherwise(F.expr("0")) + F.coalesce(n.try_cast("bigint"), F.lit(0)))
-    pairs = F.arrays_zip(symbols.alias("s"), numbers.alias("n"))
-    keys = F.array_distinct(symbols)
-    total = lambda k: F.aggregate(F.filter(pairs, lambda p: p["s"] == k), F.lit(0).cast("bigint"), lambda a, p: a + p["n"])
-    return F.map_from_arrays(keys, F.transform(keys, total))
+    keys = lambda tokens: F.array_distinct(F.transform(tokens, lambda t: t["s"]))
+    return _let(_tokens(formula), lambda tokens: F.map_from_arrays(keys(tokens), F.transform(keys(tokens), lambda k: _total(tokens, k))))
 
 
 def mole_fraction(formula: Column, element: str) -> Column:
-    counts = element_counts(formula)
-    total = F.aggregate(F.map_values(counts), F.lit(0).cast("bigint"), lambda a, n: a + n)
-    return F.when(total > 0, F.coalesce(F.element_at(counts, element), F.lit(0)) / total)
+    share = lambda tokens: F.when(_total(tokens) > 0, _total(tokens, F.lit(element)) / _total(tokens))
+    return _let(_tokens(formula), share)
 
 
 def subscript_label(formula: Column) -> Column:
@@ -118,7 +134,8 @@ def subscript_label(formula: Column) -> Column:
 
 def type_label_map(text: Column) -> Column:
     """``1:Na,2:O`` (or ``=``) to a map of strings."""
-    return F.str_to_map(F.regexp_replace(text, "[= ]", ":"), F.lit(","), F.lit(":"))
+    tidy = F.regexp_replace(F.regexp_replace(F.trim(text), r"\s*[:=]\s*", ":"), r"\s*,\s*", ",")
+    return F.map_filter(F.str_to_map(tidy, F.lit(","), F.lit(":")), lambda k, _: k != "")
 
 
 def axis_map(x: Column, n: Column, lo: float = 0.70, span: float = 0.20) -> Column:

@@ -10,22 +10,48 @@ from ..functions.physics import to_cartesian, unwrap, wrap
 SEPARATOR = "ITEM: TIMESTEP\n"
 
 
-def read_frames(spark: SparkSession, path: str) -> DataFrame:
-    """``(run, frame_idx, timestep, n_atoms, lo, hi, lengths, tilt, volume, columns, rows)``.
+FOLDER, NAME = r"^(?:file:/*(?=/))?(.*)/[^/]+$", r"([^/]+)$"
 
-    ``run`` is the file's folder. Frames are numbered by timestep, then by place in the file.
-    A frame without a box, the atom header, ids or types is an error.
+
+def run_of(file: Column) -> Column:
+    """The run that a file belongs to: its folder's full path."""
+    return F.regexp_extract(file, FOLDER, 1)
+
+
+def _texts(spark: SparkSession, path: str) -> DataFrame:
+    text = spark.read.text(path, lineSep=SEPARATOR).select(F.col("_metadata.file_path").alias("path"), F.col("value"), F.monotonically_increasing_id().alias("at"))
+    return text.filter(F.trim("value") != "")
+
+
+def frame_numbers(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, at, frame_idx)``: frames of each file numbered by timestep, then by place; no text is sorted."""
+    narrow = _texts(spark, path).select("path", "at", F.trim(F.substring_index("value", "\n", 1)).cast("bigint").alias("timestep"))
+    return narrow.select("path", "at", (F.row_number().over(Window.partitionBy("path").orderBy("timestep", "at")) - 1).alias("frame_idx"))
+
+
+def read_frames(spark: SparkSession, path: str, stride: int = 1, max_frames: int | None = None) -> DataFrame:
+    """``(run, file, frame_idx, timestep, n_atoms, lo, hi, lengths, tilt, volume, columns, rows)``.
+
+    ``run`` is the full path of the file's folder and ``file`` the file's name; frames are numbered by file. The frames
+    wanted are chosen by number before any text is split. A frame without a box, the atom header, ids or types, or
+    with fewer rows than atoms, is an error.
     """
-    text = spark.read.text(path, lineSep=SEPARATOR).select(F.col("_metadata.file_path").alias("file"), F.col("value"), F.monotonically_increasing_id().alias("at"))
-    lines = text.filter(F.trim("value") != "").withColumn("l", F.split("value", r"\r?\n"))
+    wanted = frame_numbers(spark, path).filter(F.col("frame_idx") % stride == 0)
+    if max_frames is not None:
+        wanted = wanted.filter(F.col("frame_idx") < stride * max_frames)
+    lines = _texts(spark, path).join(wanted, ["path", "at"]).withColumn("l", F.split("value", r"\r?\n"))
     header = F.get("l", 7)
     number = lambda s: F.translate(s, "Dd", "EE").try_cast("double")
     bounds = lambda k: F.array(*[number(F.get(F.split(F.trim(F.get("l", i)), r"\s+"), k)) for i in (4, 5, 6)])
     columns = F.split(F.trim(F.regexp_replace(header, "^ITEM: ATOMS", "")), r"\s+")
-    fail = lambda ok, message, value: F.when(ok, value).otherwise(F.raise_error(F.lit(message)))
+    where = F.concat(F.lit(" in "), F.col("path"), F.lit(" at timestep "), F.trim(F.get("l", 0)))
+    blank = F.trim(F.get("l", 0)) == ""  # the optimiser may look at what precedes the first header before it is left out
+    fail = lambda ok, message, value: F.when(ok | blank, value).otherwise(F.raise_error(F.concat(F.lit(message), where)))
     frames = lines.select(
-        F.regexp_extract("file", r"([^/]+)/[^/]+$", 1).alias("run"),
-        "at",
+        run_of(F.col("path")).alias("run"),
+        F.regexp_extract("path", NAME, 1).alias("file"),
+        "frame_idx",
+        "path",
         F.trim(F.get("l", 0)).cast("bigint").alias("timestep"),
         F.trim(F.get("l", 2)).cast("int").alias("n_atoms"),
         fail(F.startswith(F.get("l", 3), F.lit("ITEM: BOX BOUNDS")), "a frame without box bounds", bounds(0)).alias("lo"),
@@ -34,10 +60,11 @@ def read_frames(spark: SparkSession, path: str) -> DataFrame:
         fail(F.startswith(header, F.lit("ITEM: ATOMS")) & F.array_contains(columns, "id") & F.array_contains(columns, "type"), "a frame without the atom header, ids or types", columns).alias("columns"),
         "l",
     )
+    rows = F.filter(F.slice("l", F.lit(9), F.col("n_atoms")), lambda r: F.size(F.split(F.trim(r), r"\s+")) >= F.size("columns"))
     frames = frames.withColumn("lengths", F.zip_with("hi", "lo", lambda h, o: h - o))
-    frames = frames.withColumn("volume", F.aggregate("lengths", F.lit(1.0), lambda a, x: a * x)).withColumn("rows", F.slice("l", F.lit(9), F.col("n_atoms")))
-    order = Window.partitionBy("run").orderBy("timestep", "at")
-    return frames.withColumn("frame_idx", F.row_number().over(order) - 1).drop("at", "l")
+    frames = frames.withColumn("volume", F.aggregate("lengths", F.lit(1.0), lambda a, x: a * x)).withColumn("rows", rows)
+    complete = F.when((F.size("rows") == F.col("n_atoms")) | blank, F.col("rows")).otherwise(F.raise_error(F.concat(F.lit("a frame with missing rows"), where)).cast("array<string>"))
+    return frames.withColumn("rows", complete).drop("path", "l")
 
 
 def count_frames(spark: SparkSession, path: str) -> int:
@@ -60,19 +87,17 @@ def _unwrapped(field, axis: int, name: str) -> Column:
 
 
 def read_atoms(spark: SparkSession, path: str, stride: int = 1, max_frames: int | None = None, velocities: bool = False, single: bool = False) -> DataFrame:
-    """``(run, frame_idx, timestep, atom_id, type, xu, yu, zu, x, y, z, lx, ly, lz, volume[, vx, vy, vz])``.
+    """``(run, file, frame_idx, timestep, atom_id, type, xu, yu, zu, x, y, z, lx, ly, lz, volume[, vx, vy, vz])``.
 
-    Frames are chosen before their rows are split. ``velocities`` need ``vx`` or ``v_x``;
-    ``single`` rounds positions to 32 bits.
+    ``velocities`` need ``vx`` or ``v_x``; ``single`` rounds positions to 32 bits.
     """
-    frames = read_frames(spark, path).filter(F.col("frame_idx") % stride == 0)
-    if max_frames is not None:
-        frames = frames.filter(F.col("frame_idx") < stride * max_frames)
-    each = frames.select("run", "frame_idx", "timestep", "lo", "lengths", "volume", "columns", F.explode("rows").alias("row"))
+    frames = read_frames(spark, path, stride, max_frames)
+    # an inner explode would let its inferred filter, with the errors in it, run ahead of the choice of frames
+    each = frames.select("run", "file", "frame_idx", "timestep", "lo", "lengths", "volume", "columns", F.explode_outer("rows").alias("row")).filter("row is not null")
     each = each.withColumn("m", F.map_from_arrays("columns", F.slice(F.split(F.trim("row"), r"\s+"), F.lit(1), F.size("columns"))))
     field = lambda name: F.translate(F.try_element_at("m", F.lit(name)), "Dd", "EE").cast("double")
     out = each.select(
-        "run", "frame_idx", "timestep",
+        "run", "file", "frame_idx", "timestep",
         F.element_at("m", "id").cast("bigint").alias("atom_id"),
         F.element_at("m", "type").cast("int").alias("type"),
         *[_unwrapped(field, a, n).alias(f"{n}u") for a, n in enumerate("xyz")],

@@ -1,4 +1,4 @@
-"""Thermo logs: sections of numeric rows under a header that names ``Step`` and the potential energy."""
+"""Thermo logs: sections of numeric rows under a header that names ``Step`` and one of the known quantities."""
 
 from __future__ import annotations
 
@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.physics import pv
+from .dump import run_of
 
 #: Column of the result and the header spellings (lower case, without underscores).
 ALIASES = {"pe": ("poteng", "pe"), "ke": ("kineng", "ke"), "press": ("press", "pressure"), "vol": ("volume", "vol"), "temp": ("temp",)}
+_KNOWN = {s for spellings in ALIASES.values() for s in spellings}
 _END = ("Loop time", "WARNING", "ERROR")
 _SCHEMA = "run string, row_idx long, step double, pe double, ke double, press double, vol double, temp double"
 
@@ -30,7 +32,7 @@ def _rows(lines: list[str]) -> Iterator[tuple]:
     for line in (raw.strip() for raw in lines):
         parts = line.split()
         names = [p.lower().replace("_", "") for p in parts]
-        if "step" in names and ({"poteng", "pe"} & {*names}):
+        if "step" in names and _KNOWN & {*names}:
             at = {n: i for i, n in enumerate(names)}
         elif line.startswith(_END):
             at = None
@@ -47,7 +49,7 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 
     Section state runs through a file in order, so a file is one task; files run side by side.
     """
-    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1).alias("run"), "value")
+    files = spark.read.text(path, wholetext=True).select(run_of(F.col("_metadata.file_path")).alias("run"), "value")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -50,3 +50,51 @@ def write_cache(df: DataFrame, folder: str, **parameters) -> str:
     path = "/".join([folder, *[f"{k}={v}" for k, v in sorted(parameters.items())]])
     df.write.mode("overwrite").parquet(path)
     return path
+
+
+def write_columns(df: DataFrame, path: str, columns: list[str], fmt: str = "%.18e") -> None:
+    """Space-separated numbers under a header line, in the order of the first column, as one file: a curve is small."""
+    text = df.orderBy(columns[0]).select(F.concat_ws(" ", *[F.format_string(fmt, F.col(c).cast("double")) for c in columns]).alias(" ".join(columns)))
+    text.coalesce(1).write.mode("overwrite").option("quote", "").csv(path, header=True)
+
+
+def write_nonempty(df: DataFrame, path: str, formats: dict[str, str]) -> bool:
+    """``write_csv`` unless there is no row; whether it was written."""
+    if not df.limit(1).count():
+        return False
+    write_csv(df, path, formats)
+    return True
+
+
+def preview(df: DataFrame, order: list[str], n: int = 5) -> DataFrame:
+    """The first rows in a stated order."""
+    return df.orderBy(*order).limit(n)
+
+
+def correlation_columns(labels: list[str]) -> list[str]:
+    return ["time_ps", *[f"C_{a}_{b}_A2" for a in labels for b in labels], *[f"Cself_{a}_A2" for a in labels]]
+
+
+def correlation_table(full: DataFrame, own: DataFrame, labels: list[str], dt_ps: float) -> DataFrame:
+    """One run's ``correlations`` (a ≤ b) and ``self_correlations``, a row a lag: ``time_ps``, every ordered pair, every species."""
+    a, b = sorted(("species_a", "species_b"))
+    name = lambda x, y: F.concat(F.lit("C_"), F.col(x), F.lit("_"), F.col(y), F.lit("_A2"))
+    cells = full.select("lag", name(a, b).alias("k"), "c").unionByName(full.filter(F.col(a) != F.col(b)).select("lag", name(b, a).alias("k"), "c"))
+    cells = cells.unionByName(own.select("lag", F.concat(F.lit("Cself_"), F.col("species"), F.lit("_A2")).alias("k"), "c"))
+    names = correlation_columns(labels)
+    return cells.groupBy("lag").pivot("k", names[1:]).agg(F.first("c")).select((F.col("lag") * dt_ps).alias("time_ps"), *names[1:])
+
+
+def onsager_report(rows: DataFrame, labels: list[str], window: tuple[float, float]) -> str:
+    """The text report of one run of ``onsager_by_run``: both matrices, then a line a species; N/A where a value is missing."""
+    cells = {(r["species_a"], r["species_b"]): r for r in rows.collect()}  # a few pairs of species
+    cell = lambda a, b: cells.get((a, b)) or cells.get((b, a))
+    show = lambda v, fmt: "N/A" if v is None else format(v, fmt)
+    matrix = lambda c, fmt: [" ".join(show(cell(a, b)[c], fmt) for b in labels) for a in labels]
+    own = [(a, cells[a, a]) for a in labels]
+    lines = [
+        "# L_ij in 1/(eV cm s), centre-of-mass frame", f"# fit window {window[0]:.6g} to {window[1]:.6g} ps", "# labels: " + " ".join(labels),
+        "L_full", *matrix("l", ".8e"), "R2_full", *matrix("r2", ".6f"), "# type L_self D_self_cm2_s R2_self correlation_factor",
+        *[f"{a} {show(r['l_self'], '.8e')} {show(r['d_self'], '.8e')} {show(r['r2_self'], '.6f')} {show(r['factor'], '.8e')}" for a, r in own],
+    ]
+    return "\n".join(lines) + "\n"

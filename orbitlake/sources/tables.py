@@ -88,46 +88,57 @@ def _scalar(text: str):
 
 
 _INFO = re.compile(r'([A-Za-z_]\w*)=(?:"([^"]*)"|(\S+))')
-_XYZ = "file string, struct_id int, n_atoms int, lattice array<double>, energy double, stress array<double>, config_type string, pbc array<boolean>, species array<string>, position array<array<double>>, force array<array<double>>"
+_XYZ = "file string, struct_id int, n_atoms int, lattice array<double>, energy double, stress array<double>, config_type string, pbc array<boolean>, species array<string>, position array<array<double>>, force array<array<double>>, error string"
+
+
+def _structure(lines: list[str], at: int) -> tuple:
+    n = int(lines[at])
+    info = {k: a or b for k, a, b in _INFO.findall(lines[at + 1])}
+    kinds = info.get("Properties", "species:S:1:pos:R:3").split(":")
+    spot, place = {}, 0
+    for name, _, width in zip(kinds[::3], kinds[1::3], kinds[2::3], strict=True):
+        spot[name] = slice(place, place + int(width))
+        place += int(width)
+    rows = [line.split() for line in lines[at + 2 : at + 2 + n]]
+    if len(rows) < n or any(len(r) < place for r in rows):
+        raise ValueError("missing atoms or columns")
+    numbers = lambda key: [float(x) for x in info[key].split()] if key in info else None
+    vector = lambda key: [[float(x) for x in r[spot[key]]] for r in rows] if key in spot else None
+    return (
+        n, numbers("Lattice"), float(info["energy"]) if "energy" in info else None, numbers("stress"), info.get("config_type"),
+        [x == "T" for x in info["pbc"].split()] if "pbc" in info else None,
+        [r[spot["species"]][0] for r in rows], vector("pos"), vector("forces"),
+    )
 
 
 def parse_xyz(text: str) -> Iterator[tuple]:
-    """Structures of an extended XYZ text; reading ends at the first malformed one."""
+    """Structures of an extended XYZ text, ``error`` last. A malformed one gives a row of nulls with its error and line;
+    reading goes on at the next line that holds just a number and is followed by properties."""
     lines = text.splitlines()
+    begins = lambda i: lines[i].strip().isdigit() and i + 1 < len(lines) and "=" in lines[i + 1]
     at = 0
-    while at < len(lines) and lines[at].strip():
+    while at < len(lines):
+        if not lines[at].strip():
+            at += 1
+            continue
         try:
-            n = int(lines[at])
-            info = {k: a or b for k, a, b in _INFO.findall(lines[at + 1])}
-            kinds = info.get("Properties", "species:S:1:pos:R:3").split(":")
-            spot, place = {}, 0
-            for name, _, width in zip(kinds[::3], kinds[1::3], kinds[2::3], strict=True):
-                spot[name] = slice(place, place + int(width))
-                place += int(width)
-            rows = [line.split() for line in lines[at + 2 : at + 2 + n]]
-            if len(rows) < n:
-                return
-            numbers = lambda key: [float(x) for x in info[key].split()] if key in info else None  # noqa: B023, E731
-            vector = lambda key: [[float(x) for x in r[spot[key]]] for r in rows] if key in spot else None  # noqa: B023, E731
-            yield (
-                n, numbers("Lattice"), float(info["energy"]) if "energy" in info else None, numbers("stress"), info.get("config_type"),
-                [x == "T" for x in info["pbc"].split()] if "pbc" in info else None,
-                [r[spot["species"]][0] for r in rows], vector("pos"), vector("forces"),
-            )
-        except (ValueError, IndexError, KeyError):
-            return
-        at += n + 2
+            found = _structure(lines, at)
+            yield (*found, None)
+            at += found[0] + 2
+        except (ValueError, IndexError, KeyError) as e:
+            yield (*[None] * 9, f"line {at + 1}: {e}")
+            at = next((i for i in range(at + 1, len(lines)) if begins(i)), len(lines))
 
 
 def read_xyz(spark: SparkSession, path: str) -> DataFrame:
-    """One row a structure; a file is one task, files run side by side."""
+    """One row a structure, those that are malformed with an ``error`` and else null; a file is one task, files run side by side."""
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     columns = [c.strip().split(" ")[0] for c in re.split(r",\s*(?=\w+ )", _XYZ)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for name, text in zip(pdf["file"], pdf["value"], strict=True):
-                yield pd.DataFrame([(name, i, *s) for i, s in enumerate(parse_xyz(text))], columns=columns)
+                yield pd.DataFrame([(name, i, *s) for i, s in enumerate(parse_xyz(text))], columns=columns).astype({"n_atoms": "Int32"})
 
     return files.mapInPandas(run, _XYZ)
 
@@ -170,6 +181,44 @@ def parse_cif(text: str) -> dict:
     return {"lengths": lengths, "angles": angles, "lattice": lattice, "species": [n for n, _ in sites], "positions": [x for _, x in sites]}
 
 
+def read_structures(spark: SparkSession, path: str) -> DataFrame:
+    """POSCAR and CIF files (told by ``.cif``) as ``(file, lattice, species, positions, cartesian)``, one row a file and one species an atom."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for name, text in zip(pdf["file"], pdf["value"], strict=True):
+                if name.lower().endswith(".cif"):
+                    s = parse_cif(text) | {"cartesian": False}
+                else:
+                    s = parse_poscar(text)
+                    s["species"] = [e for e, n in zip(s["species"], s["counts"], strict=True) for _ in range(n)]
+                rows.append((name, s["lattice"], s["species"], s["positions"], s["cartesian"]))
+            yield pd.DataFrame(rows, columns=["file", "lattice", "species", "positions", "cartesian"])
+
+    return files.mapInPandas(run, "file string, lattice array<array<double>>, species array<string>, positions array<array<double>>, cartesian boolean")
+
+
+def read_energies(spark: SparkSession, path: str, value: str, temperature: float | None = None, **equal: str) -> DataFrame:
+    """``(temperature_K, x_B, …equal, value)`` of a figure's table: rows of one temperature, and of the given texts, ordered and each key once (the last row wins)."""
+    raw = spark.read.csv(path, header=True).withColumn("_at", F.monotonically_increasing_id())
+    keys = [c for c in ("formula", "composition", "temperature_K", "x_B", *equal) if c in raw.columns]
+    rows = raw
+    for name, text in equal.items():
+        rows = rows.filter(F.col(name) == text)
+    number = lambda c: F.col(c).cast("double").alias(c) if c in ("temperature_K", "x_B") else F.col(c)
+    rows = rows.select(*[number(c) for c in keys], F.col(value).cast("double").alias(value), "_at")
+    if temperature is not None:
+        rows = rows.filter(F.rint(F.col("temperature_K") * 1000) == round(temperature * 1000))
+    return rows.groupBy(*keys).agg(F.max_by(value, "_at").alias(value)).orderBy(*keys)
+
+
+def output_path(folder: str, name: str) -> str:
+    """Where a run's output goes: in its folder; of an absolute name only the last part counts."""
+    return os.path.join(folder, os.path.basename(name) if os.path.isabs(name) else name)
+
+
 def species_counts(structures: DataFrame, key: str = "struct_id") -> DataFrame:
     """``(key, species, n, first)`` from an array column ``species``; ``first`` is the place of its first atom."""
     each = structures.select(key, F.posexplode("species").alias("i", "species"))

@@ -30,6 +30,7 @@ def test_scalars(spark):
     assert one(spark, P.density(F.lit(1.0), F.lit(0.0)))[0] is None
     assert one(spark, P.number_or_na(F.lit(float("nan"))))[0] == "N/A"
     assert one(spark, P.type_label_map(F.lit("1:Na,2=O")))[0] == {"1": "Na", "2": "O"}
+    assert one(spark, P.type_label_map(F.lit(" 1 : Na , 2=O, ")))[0] == {"1": "Na", "2": "O"}
     assert one(spark, P.window_weight(F.lit(2.0), F.lit(2.0)), P.window_weight(F.lit(0.0), F.lit(2.0)))[:] == (0.0, 1.0)
     scc = one(spark, P.concentration_structure(F.lit(0.6), F.lit(0.0), F.lit(0.4), F.lit(0.6), F.lit(1.0)))[0]
     assert scc == pytest.approx(0.24)  # ideal mixture: x_Fe x_B
@@ -142,3 +143,19 @@ def test_parity_values(spark):
     df = spark.createDataFrame([(1.0, 2.0), (3.0, 1.0), (None, 1.0), (float("nan"), 1.0)], "t double, p double")
     r = tables.parity(df, "t", "p").first()
     assert (r.rmse, r.mae, r.n) == (pytest.approx(math.sqrt(2.5)), 1.5, 2)
+
+
+def test_panel_guides_regions_and_endpoints(spark):
+    x = np.linspace(0.1, 0.9, 9)
+    rows = [(t, float(v), float((v - c) ** 3)) for t, c in ((1500, 0.53), (1800, 0.62)) for v in x]
+    df = spark.createDataFrame(rows, "t int, x double, y double")
+    got = {r.t: r for r in fits.panel(df, ["t"], "x", "y").collect()}
+    for t, c in ((1500, 0.53), (1800, 0.62)):
+        assert got[t].x_inflection == pytest.approx(c, abs=1e-5) and got[t].baseline == pytest.approx((0.1 - c) ** 3 - 0.01) and got[t].ymax == pytest.approx((0.9 - c) ** 3)
+    fit = fits.polynomial_fit(df, ["t"], "x", "y")
+    assert {(r.t, round(r.x, 6)): r.y for r in fits.guide_values(fit).collect()}[1500, 0.25] == pytest.approx(-(0.28**3))
+    cut = fits.regions(fits.evaluate(fit, 0.1, 0.9, 9), fits.inflection(fit, ["t"]), ["t"], single=F.col("t") == 1800)
+    assert {(r.t, r.region): r["count"] for r in cut.groupBy("t", "region").count().collect()} == {(1500, "convex"): 5, (1500, "concave"): 4, (1800, "convex"): 9}
+    table = spark.createDataFrame([(float(v), 100, float(100 * (v * v - (1 - v) * 14.2 - v * 7.1)), float(v * v)) for v in x], "x double, n int, raw double, norm double")
+    ends = fits.endpoints(table.withColumn("k", F.lit(1)), ["k"], "raw", "n", "x", "norm").first()
+    assert (ends.e_a, ends.e_b) == (pytest.approx(-14.2), pytest.approx(-7.1))

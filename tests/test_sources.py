@@ -33,7 +33,7 @@ def run_dir(tmp_path):
 def test_coordinate_precedence(spark, run_dir, header, row, want):
     (run_dir / "a.dump").write_text(frame(0, header, [(1, 2, *row)]))
     r = dump.read_atoms(spark, str(run_dir / "a.dump")).first()
-    assert (r.run, r.atom_id, r.type) == ("1500_dir", 1, 2)
+    assert (r.run, r.file, r.atom_id, r.type) == (str(run_dir), "a.dump", 1, 2)
     assert np.allclose([r.xu, r.yu, r.zu], want)
     assert np.allclose([r.x, r.y, r.z], np.mod(want, 10))
     assert r.volume == pytest.approx(1000)
@@ -103,7 +103,7 @@ dump d all custom v_half*0+10 out_$T.dump id type
     assert deck.parse_deck("variable temp equal 900").temperature == 900
     (run_dir / "in.lammps").write_text(text)
     row = deck.read_decks(spark, str(run_dir / "in.lammps")).first()
-    assert row.run == "1500_dir" and row.masses[2] == 55.845 and row.labels[1] == "B"
+    assert row.run == str(run_dir) and row.masses[2] == 55.845 and row.labels[1] == "B"
 
 
 def test_tables(spark, tmp_path):
@@ -201,3 +201,49 @@ def test_cif_and_counts(spark):
     assert np.allclose(c["lattice"], [[2, 0, 0], [-1.5, 3 * np.sqrt(0.75), 0], [0, 0, 4]])
     df = spark.createDataFrame([(1, ["B", "Fe", "B"])], "struct_id int, species array<string>")
     assert sorted((r.species, r.n, r["first"]) for r in tables.species_counts(df).collect()) == [("B", 2, 0), ("Fe", 1, 1)]
+
+
+def test_truncated_dump_fails(spark, run_dir):
+    text = frame(0, "id type xu yu zu", [(k, 1, 1, 1, 1) for k in range(1, 4)])
+    for cut in (text.rstrip("\n").rpartition("\n")[0], text.rstrip("\n").rpartition("\n")[0] + "\n", text.rstrip()[:-2]):
+        (run_dir / "a.dump").write_text(cut)
+        with pytest.raises(Exception, match="missing rows.*a.dump at timestep 0"):
+            dump.read_atoms(spark, str(run_dir / "a.dump")).collect()
+
+
+def test_log_of_volumes(spark, run_dir):
+    (run_dir / "log.lammps").write_text("Step Temp Volume\n0 1500 100.5\n1 1500 1.0D2\nLoop time\n2 1 1\n")
+    assert [(r.step, r.vol, r.pe) for r in log.read_log(spark, str(run_dir / "log.lammps")).orderBy("row_idx").collect()] == [(0.0, 100.5, None), (1.0, 100.0, None)]
+
+
+def test_xyz_reports_malformed_structures(spark, tmp_path):
+    one = '2\nLattice="1 0 0 0 1 0 0 0 1" Properties=species:S:1:pos:R:3 energy=-1.5\nA 0 0 0\nB 0 0 1\n'
+    (tmp_path / "a.xyz").write_text(one + one.replace("B 0 0 1", "B 0 x 1") + one + one.replace("2\n", "5\n", 1) + one)
+    rows = tables.read_xyz(spark, str(tmp_path / "a.xyz")).orderBy("struct_id").collect()
+    assert [(r.n_atoms, r.error is None) for r in rows] == [(2, True), (None, False), (2, True), (None, False), (2, True)]
+    assert rows[1].error.startswith("line 5:") and rows[2].energy == -1.5
+
+
+def test_structures_and_figure_tables(spark, tmp_path):
+    (tmp_path / "a.vasp").write_text("c\n2.0\n1 0 0\n0 1 0\n0 0 1\nFe B\n1 2\nDirect\n0 0 0\n0.5 0.5 0.5\n0.1 0.1 0.1\n")
+    (tmp_path / "b.cif").write_text("data_x\n_cell_length_a 2.0\n_cell_length_b 3.0\n_cell_length_c 4.0\nloop_\n_atom_site_label\n_atom_site_fract_x\n_atom_site_fract_y\n_atom_site_fract_z\nFe1 0.0 0.0 0.0\n")
+    a, b = tables.read_structures(spark, str(tmp_path)).orderBy("file").collect()
+    assert a.species == ["Fe", "B", "B"] and a.lattice[0] == [2.0, 0.0, 0.0] and b.species == ["Fe"] and b.lattice[1][1] == pytest.approx(3.0)
+    (tmp_path / "e.csv").write_text("formula,temperature_K,x_B,pressure,v\nFe,1500.0,0.1,0 GPa,1\nFe,1500.0,0.1,0 GPa,2\nFe,1800.0,0.1,0 GPa,3\nFe,1500.0,0.2,10 GPa,4\n")
+    got = tables.read_energies(spark, str(tmp_path / "e.csv"), "v", 1500.0, pressure="0 GPa").collect()
+    assert [(r.temperature_K, r.x_B, r.v) for r in got] == [(1500.0, 0.1, 2.0)]
+    assert tables.output_path("/a", "/x/b.txt") == "/a/b.txt" and tables.output_path("/a", "c/b.txt") == "/a/c/b.txt"
+
+
+def test_reports_and_exports(spark, tmp_path):
+    full = spark.createDataFrame([(k, a, b, float(k)) for k in (1, 2) for a, b in (("B", "B"), ("B", "Fe"), ("Fe", "Fe"))], "lag int, species_a string, species_b string, c double")
+    own = spark.createDataFrame([(k, s, 10.0 * k) for k in (1, 2) for s in ("B", "Fe")], "lag int, species string, c double")
+    wide = sinks.correlation_table(full, own, ["B", "Fe"], 0.5)
+    sinks.write_columns(wide, str(tmp_path / "c"), wide.columns)
+    lines = next((tmp_path / "c").glob("*.csv")).read_text().splitlines()
+    assert lines[0] == "time_ps C_B_B_A2 C_B_Fe_A2 C_Fe_B_A2 C_Fe_Fe_A2 Cself_B_A2 Cself_Fe_A2" and [float(x) for x in lines[2].split()] == [1.0, 2, 2, 2, 2, 20, 20]
+    rows = spark.createDataFrame([("B", "B", 1.0, 0.9, 2.0, 3.0, 0.8, -0.5), ("B", "Fe", 4.0, None, None, None, None, None), ("Fe", "Fe", 5.0, 0.7, 2.5, 3.5, 0.6, 1.0)], "species_a string, species_b string, l double, r2 double, l_self double, d_self double, r2_self double, factor double")
+    text = sinks.onsager_report(rows, ["B", "Fe"], (1.0, 4.0)).splitlines()
+    assert text[4:6] == ["1.00000000e+00 4.00000000e+00", "4.00000000e+00 5.00000000e+00"] and text[7] == "0.900000 N/A" and text[-1].startswith("Fe 2.50000000e+00")
+    assert not sinks.write_nonempty(rows.limit(0), str(tmp_path / "n"), {}) and not (tmp_path / "n").exists()
+    assert sinks.write_nonempty(rows, str(tmp_path / "n"), {"l": "%.2f"}) and [r.l for r in sinks.preview(rows, ["l"], 2).collect()] == [1.0, 4.0]
