@@ -17,6 +17,9 @@ from ..constants import A2_PS_TO_CM2_S, A3_TO_CM3, AMU_A3_TO_G_CM3, BAR_A3_TO_EV
 from ..functions import physics as P
 from ..operators import fits, modes, pairs, series, tables, transport, vibration
 from ..operators import kirkwood_buff as kb
+from ..session import shared_folder
+from ..sources import deck, dump, log, sinks
+from ..sources import tables as sources
 
 BOX, WIDTH, R_MAX, CUTOFF = 4.0, 0.05, 2.0, 0.45
 RHO_FE, RHO_B = 0.5, 0.25
@@ -36,7 +39,7 @@ def _round(df: DataFrame, digits: int, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) + F.lit(0.0) for c in columns})
 
 
-# --- stand-ins -------------------------------------------------------------
+# --- stand-ins
 
 
 def atoms(spark: SparkSession, d: str) -> DataFrame:
@@ -137,7 +140,7 @@ def _query(name: str, sql: str | None = None):
     return add
 
 
-# --- tables and accuracy ---------------------------------------------------
+# --- tables and accuracy
 
 LP = "lp AS (SELECT l_extendedprice::DOUBLE AS t, l_quantity::DOUBLE * p_retailprice::DOUBLE AS p FROM lineitem JOIN part ON l_partkey = p_partkey)"
 
@@ -271,7 +274,7 @@ def _stress(spark, d):
     return _round(_t(spark, d, "embeddings").select("vec_id", P.pressure_gpa(F.col("embedding").cast("array<double>")).alias("p_gpa")), 6, "p_gpa")
 
 
-# --- series ----------------------------------------------------------------
+# --- series
 
 _EV = "ev AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS o FROM events)"
 _BY, _ORDER = ["user_id"], ["ts", "event_id"]
@@ -342,13 +345,19 @@ def _thin(spark, d):
     return series.thin_beyond(e, _BY, "x", 0, 3).select("user_id", "event_id")
 
 
-@_query("nearest_frames")
+_PICK = "list_position(list_transform({s}, lambda x: abs(x - {g})), list_min(list_transform({s}, lambda x: abs(x - {g}))))"
+
+
+@_query("nearest_frames", f"""WITH RECURSIVE {_EV}, l AS (SELECT user_id, list(floor(epoch(ts)) / 60 ORDER BY o) AS t FROM ev GROUP BY 1),
+  r AS (SELECT user_id, t, 0 AS rank, t[len(t)] AS target, {_PICK.format(s="t", g="t[len(t)]")} AS p FROM l
+    UNION ALL SELECT user_id, t, rank + 1, t[len(t)] - 60.0::DOUBLE * (rank + 1), {_PICK.format(s="t[1:p - 1]", g="(t[len(t)] - 60.0::DOUBLE * (rank + 1))")} FROM r WHERE rank < 9 AND p > 1)
+  SELECT user_id, rank, target, (p - 1)::INT AS frame, t[p] AS time FROM r QUALIFY count(*) OVER (PARTITION BY user_id) = 10""")
 def _frames(spark, d):
     e = series.ordinal(series_of(spark, d), _BY, _ORDER, "frame").withColumn("time", F.unix_timestamp("ts") / 60)
     return series.nearest_frames(e, _BY, "frame", "time", 10, 60.0)
 
 
-# --- pairs -----------------------------------------------------------------
+# --- pairs
 
 
 @_query("minimum_image", f"""WITH {ATOMS} SELECT atom_id, round(x - round_even(x / {BOX}::DOUBLE, 0) * {BOX}::DOUBLE, 9) + 0.0::DOUBLE AS dx, round(-1 + (((x + 1) % {BOX}::DOUBLE) + {BOX}::DOUBLE) % {BOX}::DOUBLE, 9) + 0.0::DOUBLE AS wx FROM atoms""")
@@ -428,7 +437,7 @@ def _adjacency(spark, d):
     return pairs.adjacency(e, a).withColumn("neighbours", F.to_json("neighbours"))
 
 
-# --- reciprocal space and integrals ----------------------------------------
+# --- reciprocal space and integrals
 
 MODES = f"""{ATOMS}, ax AS (SELECT unnest(range(-{SHELLS}, {SHELLS} + 1))::DOUBLE AS v),
 kg AS (SELECT a.v AS nx, b.v AS ny, c.v AS nz FROM ax a, ax b, ax c WHERE a.v <> 0 OR b.v <> 0 OR c.v <> 0),
@@ -516,7 +525,7 @@ def _kbi_scc(spark, d):
     return _round(_round(kb.scc_from_integrals(_sinc(spark, d), RHO_FE, RHO_B), 6, "k"), 7, "s_ff", "s_fb", "s_bb", "scc")
 
 
-# --- transport and vibration -----------------------------------------------
+# --- transport and vibration
 
 
 def _centered(spark, d):
@@ -585,7 +594,7 @@ def _thermo(spark, d):
     return _round(_round(out, 9, "s_ev_k"), 7, "integral_g", "i_ln2sinh", "f_via_sinh_ev", "f_ev", "u_ev")
 
 
-# --- curves ----------------------------------------------------------------
+# --- curves
 
 _POLY = [0.5, -1.0, 0.25, 0.125, -0.3]
 
@@ -608,17 +617,102 @@ def _fitted(spark, d):
     return li.select(F.col("l_returnflag").alias("flag"), (F.col("l_quantity").cast("double") / 50).alias("x"), (F.col("y") / 1e5).alias("y"))
 
 
-@_query("polynomial_fit")
+_CUBIC = """q AS (SELECT l_returnflag AS flag, l_quantity / 50 AS x, avg(l_extendedprice) / 1e5::DOUBLE AS y FROM lineitem GROUP BY ALL),
+  q1 AS (SELECT *, x - avg(x) OVER f AS p1, avg(x) OVER f AS a1 FROM q WINDOW f AS (PARTITION BY flag)),
+  q2 AS (SELECT *, sum(x * p1 * p1) OVER f / sum(p1 * p1) OVER f AS a2, sum(p1 * p1) OVER f / count(*) OVER f AS b1 FROM q1 WINDOW f AS (PARTITION BY flag)),
+  q3 AS (SELECT *, (x - a2) * p1 - b1 AS p2 FROM q2),
+  q4 AS (SELECT *, sum(x * p2 * p2) OVER f / sum(p2 * p2) OVER f AS a3, sum(p2 * p2) OVER f / sum(p1 * p1) OVER f AS b2 FROM q3 WINDOW f AS (PARTITION BY flag)),
+  q5 AS (SELECT *, (x - a3) * p2 - b2 * p1 AS p3 FROM q4),
+  q6 AS (SELECT flag, avg(y) AS c0, sum(y * p1) / sum(p1 * p1) AS c1, sum(y * p2) / sum(p2 * p2) AS c2, sum(y * p3) / sum(p3 * p3) AS c3,
+         any_value(a1) AS a1, any_value(a2) AS a2, any_value(a3) AS a3, any_value(b1) AS b1, any_value(b2) AS b2 FROM q5 GROUP BY flag),
+  cubic AS (SELECT flag, c3 AS k3, c2 - c3 * (a1 + a2 + a3) AS k2, c1 - c2 * (a1 + a2) + c3 * (a1 * a2 - b1 + a3 * (a1 + a2) - b2) AS k1,
+         c0 - c1 * a1 + c2 * (a1 * a2 - b1) + c3 * (b2 * a1 - a3 * (a1 * a2 - b1)) AS k0 FROM q6)"""
+
+
+@_query("polynomial_fit", f"WITH {_CUBIC} SELECT flag, round(k3, 6) AS k3, round(k2, 6) AS k2, round(k1, 6) AS k1, round(k0, 6) AS k0 FROM cubic")
 def _fit(spark, d):
-    return fits.polynomial_fit(_fitted(spark, d), ["flag"], "x", "y", 5)
+    fit = fits.polynomial_fit(_fitted(spark, d), ["flag"], "x", "y", 3)
+    return _round(fit.select("flag", *[F.get("coefficients", F.lit(i)).alias(f"k{3 - i}") for i in range(4)]), 6, "k3", "k2", "k1", "k0")
 
 
-@_query("inflection")
+@_query("inflection", f"WITH {_CUBIC} SELECT flag, round(-k2 / (3 * k3), 5) AS x_inflection FROM cubic")
 def _inflection(spark, d):
-    return fits.inflection(fits.polynomial_fit(_fitted(spark, d), ["flag"], "x", "y", 5), ["flag"])
+    return _round(fits.inflection(fits.polynomial_fit(_fitted(spark, d), ["flag"], "x", "y", 3), ["flag"]), 5, "x_inflection")
 
 
-@_query("regions")
+@_query("regions", f"""WITH {_CUBIC}, g AS (SELECT *, unnest(range(50)) / 49.0::DOUBLE AS x, -k2 / (3 * k3) AS xi FROM cubic)
+  SELECT flag, round(x, 6) AS x, round(((k3 * x + k2) * x + k1) * x + k0, 6) AS y, CASE WHEN x <= xi THEN 'convex' ELSE 'concave' END AS region FROM g""")
 def _regions(spark, d):
-    f = fits.polynomial_fit(_fitted(spark, d), ["flag"], "x", "y", 5)
-    return fits.regions(fits.evaluate(f, 0.0, 1.0, 50), fits.inflection(f, ["flag"]), ["flag"])
+    f = fits.polynomial_fit(_fitted(spark, d), ["flag"], "x", "y", 3)
+    return _round(fits.regions(fits.evaluate(f, 0.0, 1.0, 50), fits.inflection(f, ["flag"]), ["flag"]).select("flag", "x", "y", "region"), 6, "x", "y")
+
+
+@_query("endpoints", """WITH t AS (SELECT p_brand AS brand, p_size AS x0, p_retailprice AS raw, p_partkey AS i FROM part),
+  u AS (SELECT brand, (x0 - 1) / 49.0::DOUBLE AS x, raw / 10 - raw * raw / 1e6::DOUBLE AS d FROM t),
+  s AS (SELECT brand, sum((1 - x) * (1 - x)) AS aa, sum((1 - x) * x) AS ab, sum(x * x) AS bb, sum((1 - x) * d) AS ad, sum(x * d) AS bd FROM u GROUP BY 1)
+  SELECT brand, round((bb * ad - ab * bd) / (aa * bb - ab * ab), 6) AS e_a, round((aa * bd - ab * ad) / (aa * bb - ab * ab), 6) AS e_b FROM s WHERE aa * bb - ab * ab > 1e-6::DOUBLE""")
+def _endpoints(spark, d):
+    p = _t(spark, d, "part").select(F.col("p_brand").alias("brand"), ((F.col("p_size") - 1) / 49.0).alias("x"), F.col("p_retailprice").alias("raw"), F.lit(10).alias("n"))
+    table = p.withColumn("norm", F.col("raw") * F.col("raw") / 1e6)
+    wide = table.groupBy("brand").agg(F.sum((1 - F.col("x")) ** 2).alias("aa"), F.sum((1 - F.col("x")) * F.col("x")).alias("ab"), F.sum(F.col("x") ** 2).alias("bb")).filter("aa * bb - ab * ab > 1e-6")
+    return _round(fits.endpoints(table, ["brand"], "raw", "n", "x", "norm").join(wide.select("brand"), "brand", "left_semi"), 6, "e_a", "e_b")
+
+
+# --- sources and sinks: tables written in each format and read back
+
+
+def _files(spark: SparkSession, texts: DataFrame) -> str:
+    """One text file a ``run``, each in a folder of its own."""
+    folder = shared_folder(spark)
+    texts.select("run", "value").repartition("run").write.partitionBy("run").text(folder)
+    return folder
+
+
+def _run():
+    return F.regexp_extract("run", "run=([^/]+)$", 1).cast("bigint")
+
+
+@_query("csv_round_trip", "SELECT s_suppkey, round(s_acctbal, 2) AS s_acctbal, s_name FROM supplier")
+def _csv(spark, d):
+    folder = shared_folder(spark)
+    sinks.write_csv(_t(spark, d, "supplier").select("s_suppkey", "s_acctbal", "s_name"), folder, {"s_acctbal": "%.2f"})
+    return sources.read_csv(spark, folder, "s_suppkey bigint, s_acctbal double, s_name string")
+
+
+@_query("log_read", f"""WITH {_EV} SELECT user_id, o::BIGINT AS row_idx, event_id::DOUBLE AS step, value AS pe, 2 * value AS ke, -value AS press, round((-value * event_id * {BAR_A3_TO_EV!r}::DOUBLE), 9) + 0.0::DOUBLE AS pv FROM ev""")
+def _log(spark, d):
+    e = series.ordinal(series_of(spark, d), _BY, _ORDER, "o")
+    row = F.concat_ws(" ", "event_id", "value", 2 * F.col("value"), F.regexp_replace((-F.col("value")).cast("string"), "E", "D"), "event_id")
+    lines = e.select("user_id", F.struct("o", row.alias("line")).alias("l")).groupBy(F.col("user_id").alias("run")).agg(F.sort_array(F.collect_list("l")).alias("l"))
+    text = F.concat(F.lit("some banner\nStep PotEng KinEng Press Volume\n"), F.array_join("l.line", "\n"), F.lit("\nLoop time of 1\n1 2 3 4 5"))
+    got = log.with_energies(log.read_log(spark, f"{_files(spark, lines.select('run', text.alias('value')))}/*/*.txt"))
+    return _round(got.select(_run().alias("user_id"), "row_idx", "step", "pe", "ke", "press", "pv"), 9, "pv")
+
+
+@_query("dump_read", """WITH c AS (SELECT c_nationkey, c_custkey, c_acctbal, (c_custkey % 4) AS f FROM customer)
+  SELECT c_nationkey, (dense_rank() OVER (PARTITION BY c_nationkey ORDER BY f) - 1)::INT AS frame_idx, f * 10 AS timestep, c_custkey AS atom_id, c_acctbal AS xu, 100 * (c_acctbal / 1000) AS yu, c_acctbal - 2 * 100 AS zu, 1e6::DOUBLE AS volume FROM c""")
+def _dump(spark, d):
+    c = _t(spark, d, "customer").withColumn("f", F.col("c_custkey") % 4)
+    row = F.concat_ws(" ", "c_custkey", F.lit(1), "c_acctbal", F.col("c_acctbal") / 1000, "c_acctbal", F.lit(0), F.lit(0), F.lit(-2))
+    frames = c.groupBy("c_nationkey", "f").agg(F.count("*").alias("n"), F.array_join(F.collect_list(row), "\n").alias("rows"))
+    head = F.concat(F.lit("ITEM: TIMESTEP\n"), F.col("f") * 10, F.lit("\nITEM: NUMBER OF ATOMS\n"), "n", F.lit("\nITEM: BOX BOUNDS pp pp pp\n0 100\n0 1D2\n0.0 100.0\nITEM: ATOMS id type xu ysu z ix iy iz\n"), "rows")
+    texts = frames.groupBy(F.col("c_nationkey").alias("run")).agg(F.array_join(F.collect_list(head), "\n").alias("value"))
+    got = dump.read_atoms(spark, f"{_files(spark, texts)}/*/*.txt")
+    return got.select(_run().cast("int").alias("c_nationkey"), "frame_idx", "timestep", "atom_id", "xu", "yu", "zu", "volume")
+
+
+@_query("deck_read", "SELECT s_suppkey, s_nationkey / 1000.0::DOUBLE AS timestep, 5 AS dump_every, s_suppkey::DOUBLE AS temperature, 2.5::DOUBLE * s_nationkey AS mass, 'B' AS label FROM supplier")
+def _deck(spark, d):
+    s = _t(spark, d, "supplier")
+    text = F.concat(F.lit("units metal\nvariable t equal "), "s_suppkey", F.lit("\nvariable n equal "), "s_nationkey", F.lit("\ntimestep ${n}/1000\nmass 1 2.5*v_n\npair_coeff * * model B\ndump 1 all custom 5 a.dump id type x y z\nfix 1 all nvt temp ${t} &\n $t 0.1\n"))
+    got = deck.read_decks(spark, f"{_files(spark, s.select(F.col('s_suppkey').alias('run'), text.alias('value')))}/*/*.txt")
+    return got.select(_run().alias("s_suppkey"), "timestep", "dump_every", "temperature", F.element_at("masses", F.lit(1)).alias("mass"), F.element_at("labels", F.lit(1)).alias("label"))
+
+
+@_query("xyz_read", """SELECT label AS run, vec_id, 2 AS n_atoms, embedding[1]::DOUBLE AS energy, embedding[2]::DOUBLE AS x, 'B' AS second FROM embeddings""")
+def _xyz(spark, d):
+    e = _t(spark, d, "embeddings").select("label", "vec_id", *[F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(3)])
+    one = F.concat(F.lit('2\nLattice="1 0 0 0 1 0 0 0 1" Properties=species:S:1:pos:R:3 config_type='), "vec_id", F.lit(" energy="), "e0", F.lit("\nFe "), F.concat_ws(" ", "e1", "e2", F.lit(0)), F.lit("\nB 0 0 0.5"))
+    texts = e.groupBy(F.col("label").alias("run")).agg(F.array_join(F.collect_list(one), "\n").alias("value"))
+    got = sources.read_xyz(spark, f"{_files(spark, texts)}/*/*.txt").filter("error is null")
+    return got.select(F.regexp_extract("file", "run=([^/]+)/", 1).cast("int").alias("run"), F.col("config_type").cast("bigint").alias("vec_id"), "n_atoms", "energy", F.get(F.get("position", F.lit(0)), F.lit(0)).alias("x"), F.get("species", F.lit(1)).alias("second"))
