@@ -5,12 +5,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import A2_PS_TO_CM2_S, A3_TO_CM3, KB
 
 _AXES = ("xu", "yu", "zu")
+_CELLS = 1 << 21
 
 
 def centered(atoms: DataFrame, columns: tuple[str, ...] = _AXES) -> DataFrame:
@@ -51,11 +56,75 @@ def correlations(atoms: DataFrame, lags: DataFrame, origin_stride: int = 1) -> D
     return a.join(b, ["run", "lag", "frame_idx"]).filter("species_a <= species_b").groupBy("run", "lag", "species_a", "species_b").agg(F.avg(dot).alias("c"))
 
 
+def _spectra(u: np.ndarray, v: np.ndarray, size: int) -> np.ndarray:
+    """Spectrum of the sum over t of ``u[t] v[t + lag]``, added up over all but the last axis."""
+    f = np.conj(np.fft.rfft(u, size)) * np.fft.rfft(v, size)
+    return f.reshape(-1, f.shape[-1]).sum(0)
+
+
+def _size(frames: int) -> int:
+    """Room for every lag without wrapping round."""
+    return 1 << (2 * frames - 1).bit_length()
+
+
+def _dense(column: pa.Array, at: np.ndarray, row: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+    out = np.zeros(shape)
+    out[row, at] = column.flatten().to_numpy(zero_copy_only=False)
+    return out
+
+
 def self_correlations(atoms: DataFrame, lags: DataFrame, origin_stride: int = 1) -> DataFrame:
-    """``(run, lag, species, c)``: squared displacements summed over particles, averaged over origins."""
-    d = _shifted(atoms.select("run", "frame_idx", F.struct("species", "atom_id").alias("who"), *_AXES), lags, ["who"], origin_stride)
-    square = F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz")
-    return d.groupBy("run", "lag", F.col("who.species").alias("species")).agg((F.sum(square) / F.count_distinct("frame_idx")).alias("c"))
+    """``(run, lag, species, c)``: squared displacements summed over particles, averaged over the origins at which the species is there.
+
+    A particle's series is transformed once, and its sums over all origins at every lag come from products of transforms, so
+    the work is that of the atoms times the logarithm of the frames. Missing frames are left out by their masks.
+    """
+    rows = atoms.groupBy("run", "species", "atom_id").agg(F.sort_array(F.collect_list(F.struct("frame_idx", *_AXES))).alias("s"))
+    rows = rows.select("run", "species", F.col("s.frame_idx").cast("array<bigint>").alias("t"), *[F.col(f"s.{c}").cast("array<double>").alias(c) for c in _AXES])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [str(k) for k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            sizes = batch.column(2).value_lengths().to_numpy(zero_copy_only=False)
+            for key in sorted(set(keys)):
+                mine = np.flatnonzero(np.array(keys) == key)
+                n = 1 + max(int(batch.column(2).take(pa.array(mine)).flatten().to_numpy(zero_copy_only=False).max(initial=0)), 0)
+                spectrum, size = 0, _size(n)
+                for lo in range(0, len(mine), max(1, _CELLS // size)):
+                    some = batch.take(pa.array(mine[lo : lo + max(1, _CELLS // size)]))
+                    row = np.repeat(np.arange(some.num_rows), sizes[mine[lo : lo + some.num_rows]])
+                    at = some.column(2).flatten().to_numpy(zero_copy_only=False)
+                    here = np.zeros((some.num_rows, n))
+                    here[row, at] = 1
+                    start = here * (np.arange(n) % origin_stride == 0)
+                    square = 0
+                    for axis in range(3, 6):
+                        x = _dense(some.column(axis), at, row, here.shape)
+                        x = (x - x.sum(1, keepdims=True) / here.sum(1, keepdims=True)) * here
+                        square = square + x * x
+                        spectrum = spectrum - 2 * _spectra(start * x, x, size)
+                    spectrum = spectrum + _spectra(start * square, here, size) + _spectra(start, square, size)
+                c = np.fft.irfft(spectrum, size)[1:n]
+                first = pa.array(np.full(n - 1, mine[0]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(first), batch.column(1).take(first), pa.array(np.arange(1, n)), pa.array(c)], ["run", "species", "lag", "c"])
+
+    def origins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                at = np.array(batch.column(2)[k].as_py())
+                here = np.zeros(int(at.max()) + 1)
+                here[at] = 1
+                size = _size(len(here))
+                n = np.rint(np.fft.irfft(_spectra(here * (np.arange(len(here)) % origin_stride == 0), here, size), size))[1 : len(here)].astype(np.int64)
+                first = pa.array(np.full(len(n), k))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(first), batch.column(1).take(first), pa.array(np.arange(1, len(here))), pa.array(n)], ["run", "species", "lag", "n"])
+
+    keys = ", ".join(f"{c} {atoms.schema[c].dataType.simpleString()}" for c in ("run", "species"))
+    sums = rows.mapInArrow(total, f"{keys}, lag bigint, c double").groupBy("run", "species", "lag").agg(F.sum("c").alias("c"))
+    seen = atoms.groupBy("run", "species").agg(F.collect_set(F.col("frame_idx").cast("bigint")).alias("t"))
+    counts = seen.mapInArrow(origins, f"{keys}, lag bigint, n bigint").filter("n > 0")
+    wanted = lags.select("run", F.col("lag").cast("bigint").alias("lag"))
+    return sums.join(counts, ["run", "species", "lag"]).join(wanted, ["run", "lag"]).select("run", F.col("lag").cast(lags.schema["lag"].dataType).alias("lag"), "species", (F.col("c") / F.col("n")).alias("c"))
 
 
 def slope_fit(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:

@@ -159,3 +159,33 @@ def test_panel_guides_regions_and_endpoints(spark):
     table = spark.createDataFrame([(float(v), 100, float(100 * (v * v - (1 - v) * 14.2 - v * 7.1)), float(v * v)) for v in x], "x double, n int, raw double, norm double")
     ends = fits.endpoints(table.withColumn("k", F.lit(1)), ["k"], "raw", "n", "x", "norm").first()
     assert (ends.e_a, ends.e_b) == (pytest.approx(-14.2), pytest.approx(-7.1))
+
+
+def test_self_correlations_with_gaps_and_strided_origins(spark):
+    rng = np.random.default_rng(37)
+    rows = [(run, t, a, "AB"[a % 2], *map(float, 50 + np.cumsum(rng.normal(size=3)))) for run in "xy" for a in range(5) for t in range(24) if (t * 7 + a) % 11]
+    atoms = spark.createDataFrame(rows, "run string, frame_idx int, atom_id int, species string, xu double, yu double, zu double").repartition(3)
+    lags = spark.createDataFrame([(run, lag) for run in "xy" for lag in (1, 2, 5, 23)], "run string, lag int")
+    for stride in (1, 3):
+        got = {(r.run, r.lag, r.species): r.c for r in transport.self_correlations(atoms, lags, stride).collect()}
+        want = {}
+        for run in "xy":
+            for lag in (1, 2, 5, 23):
+                for s in "AB":
+                    at = {(t, a): np.array(p) for r, t, a, q, *p in rows if r == run and q == s}
+                    sums = [((at[t + lag, a] - at[t, a]) ** 2).sum() for t, a in at if t % stride == 0 and (t + lag, a) in at]
+                    held = {t for t, _ in at}
+                    n = sum(t % stride == 0 and t + lag in held for t in held)
+                    if n:
+                        want[run, lag, s] = sum(sums) / n
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
+def test_oz_fit_against_a_dense_grid(spark):
+    rng = np.random.default_rng(16)
+    k = np.linspace(0.05, 0.75, 12)
+    s = 0.7 / (1 + 2.3 * k * k) * (1 + 0.02 * rng.normal(size=12))
+    r = fits.oz_fit(spark.createDataFrame([(1, float(a), float(b)) for a, b in zip(k, s)], "g int, k double, scc double"), ["g"]).first()
+    cost = lambda a, b: ((a / (1 + b * k * k) - s) ** 2).sum()
+    dense = min(cost(a, b) for a in np.linspace(0.6, 0.8, 201) for b in np.linspace(1.5, 3.5, 401))
+    assert cost(r.a, r.b) <= dense + 1e-12
