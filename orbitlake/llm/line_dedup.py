@@ -13,7 +13,9 @@ distributed union-find of ``components``; of each component the first line stays
 the smallest ``doc_id`` (null last), at ties of the smallest document key, then of the
 smallest line number.
 
-Documents are read twice: split into a table of lines, and rewritten.
+Documents are read twice: split into a table of lines, and rewritten. Their texts are
+shuffled once at most (twice if rows repeat), and those of lines only if they share a bucket (where those are too
+many to broadcast, a bit set lets few others through). Tables are deleted when used up.
 
 ``dedup_lines`` rewrites the documents. Cases: blank lines (white space only) are layout:
 they are neither compared nor counted, and are dropped where they would follow another
@@ -32,10 +34,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, place, sized, thrifty
+from . import common
+from .common import cut, discard, measured, place, sieve, sifted, sized, thrifty
 from .components import components
 from .simhash import keyed
 from .text import Column, mix
@@ -110,6 +114,21 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return cut(each.filter(F.col("line").rlike(r"[^ \t\r\f\x0B]")).withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(3), "line")}))
 
 
+def texts_of(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(h1, line)``, written: the lines of the hashes ``wanted(h1)``, each once."""
+    each = lines.select("h1", "line")
+    if measured(wanted) > common.BROADCAST_BYTES:  # else all lines' texts would be shuffled
+        bits = each.sparkSession.sparkContext.broadcast(sieve(wanted))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                h1, once = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_index=True)
+                yield batch.take(pa.array(once[sifted(bits.value, h1)]))
+
+        each = each.mapInArrow(thrifty(run), each.schema)
+    return cut(each.join(sized(wanted), "h1", "left_semi").dropDuplicates(["h1"]))
+
+
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         h1 = batch.column(0).to_numpy(zero_copy_only=False)
@@ -170,7 +189,7 @@ def line_components(lines: DataFrame) -> DataFrame:
     star = cut(buckets.withColumn("m", least).filter("m <> h1").groupBy("bucket", "m", "h1").agg(F.lit(1).alias("one")).drop("one"))
     pairs = star.select(F.col("m").alias("a"), F.col("h1").alias("b")).distinct()
     wanted = cut(star.select(F.explode(F.array("m", "h1")).alias("h1")).distinct())
-    text = cut(lines.select("h1", "line").join(sized(wanted), "h1", "left_semi").dropDuplicates(["h1"]))
+    text = texts_of(lines, wanted)
     found = verify(pairs, text)
     member = star.select("bucket", "h1")  # a line that has been compared with its whole bucket leaves it
     for step in range(STARS):
@@ -179,6 +198,7 @@ def line_components(lines: DataFrame) -> DataFrame:
         spread = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("h1").alias("m")).filter("lo <> hi").select("bucket", "m")
         member = cut(placed.join(spread, "bucket"))
         if not member.limit(1).count():
+            discard(star, wanted, text)
             return roots
         if step < STARS - 1:
             first = member.filter("h1 = m").select("bucket", F.col("c").alias("cm"))
@@ -189,11 +209,13 @@ def line_components(lines: DataFrame) -> DataFrame:
             y = member.select("bucket", F.col("h1").alias("b"), F.col("c").alias("cb"))
             rest = x.join(y, "bucket").filter("a < b and ca <> cb").select("a", "b")
         found = found.unionByName(verify(rest.distinct(), text))
+    discard(star, wanted, text)
     return components(found)
 
 
-def kept_lines(lines: DataFrame) -> DataFrame:
-    """``(k1, k2, kept)``, written: by key of the documents that lose a line, the numbers of those that stay; null if none does."""
+def fates(lines: DataFrame) -> DataFrame:
+    """``(k1, k2, loses, twice, kept)``, written: by key of the documents that lose a line or whose row repeats,
+    and the numbers of the lines that stay if any is lost; null if none stays."""
     roots = line_components(lines)
     each = lines.select("doc_id", "k1", "k2", "no", "h1", "h2")
     joined = each.join(sized(cut(roots.withColumnRenamed("node", "h1"))), "h1", "left")
@@ -201,8 +223,10 @@ def kept_lines(lines: DataFrame) -> DataFrame:
     x, y = F.coalesce("root", "h1").alias("x"), F.when(F.col("root").isNull(), F.col("h2")).alias("y")
     first = joined.select(x, y, order.alias("o")).groupBy("x", "y").agg(F.min("o").alias("o")).select("o.k1", "o.k2", "o.no")
     kept = first.groupBy("k1", "k2").agg(F.sort_array(F.collect_list("no")).alias("kept"))
-    per = lines.groupBy("k1", "k2", "row").count().groupBy("k1", "k2").agg(F.max("count").alias("n"))
-    return cut(per.join(kept, ["k1", "k2"], "left").filter("kept is null or size(kept) < n").select("k1", "k2", "kept"))
+    per = lines.groupBy("k1", "k2", "row").count().groupBy("k1", "k2").agg(F.max("count").alias("n"), (F.count("*") > 1).alias("twice"))
+    loses = F.expr("kept is null or size(kept) < n")
+    each = per.join(kept, ["k1", "k2"], "left").select("k1", "k2", loses.alias("loses"), "twice", F.when(loses, F.col("kept")).alias("kept"))
+    return cut(each.filter("loses or twice"))
 
 
 def _thinned(text: str, kept: list[int]) -> str:
@@ -219,28 +243,27 @@ def _thinned(text: str, kept: list[int]) -> str:
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with one line of each component left."""
     lines = lines_of(docs)
-    kept = kept_lines(lines)
+    fate = fates(lines)
+    discard(lines)
     t, names = place(docs, "text"), [f"_{i}" for i in range(len(docs.columns))]
-    flat = keyed(docs)
-    repeated = cut(lines.groupBy("k1", "k2").agg(F.min("row").alias("lo"), F.max("row").alias("hi")).filter("lo <> hi").select("k1", "k2"))
-    if repeated.limit(1).count():
-        once = flat.join(sized(repeated), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
-        flat = flat.join(sized(repeated), ["k1", "k2"], "left_anti").unionByName(once.select(*flat.columns))
-    whole = flat.join(sized(kept.select("k1", "k2")), ["k1", "k2"], "left_anti").select(*names)
-    some = kept.filter("kept is not null")
-    thin = flat.join(sized(some, "32 + 4 * size(kept)"), ["k1", "k2"]).select(*names, "kept")
+    told = keyed(docs).join(sized(fate, "32 + 4 * coalesce(size(kept), 0)"), ["k1", "k2"], "left")
+    if fate.filter("twice").limit(1).count():
+        told = told.filter("twice is null or not twice").unionByName(told.filter("twice").dropDuplicates(["k1", "k2"]))
+    told = told.filter("loses is null or not loses or kept is not null").select(*names, "kept")
     counted = [i for i, f in enumerate(docs.schema.fields) if f.name == "n_chars" and f.dataType.typeName() in ("long", "integer")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            arrays = list(batch.columns[:-1])
-            new = [_thinned(text, k) for text, k in zip(arrays[t].to_pylist(), batch.column(len(names)).to_pylist(), strict=True)]
-            arrays[t] = pa.array(new, arrays[t].type)
-            for i in counted:
-                arrays[i] = pa.array([len(x) for x in new], arrays[i].type)
+            arrays, kept = list(batch.columns[:-1]), batch.column(len(names))
+            some = kept.is_valid()
+            new = [_thinned(text, k) for text, k in zip(arrays[t].filter(some).to_pylist(), kept.filter(some).to_pylist(), strict=True)]
+            if new:
+                arrays[t] = pc.replace_with_mask(arrays[t], some, pa.array(new, arrays[t].type))
+                for i in counted:
+                    arrays[i] = pc.replace_with_mask(arrays[i], some, pa.array([len(x) for x in new], arrays[i].type))
             yield pa.RecordBatch.from_arrays(arrays, names)
 
-    return whole.unionByName(thin.mapInArrow(thrifty(run), whole.schema)).toDF(*docs.columns)
+    return told.mapInArrow(thrifty(run), told.select(*names).schema).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

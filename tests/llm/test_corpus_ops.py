@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from orbitlake.llm import fingerprint, language_id, line_dedup, mtree, packing, registry, repair, secret_scan, simhash, source_mix, warc
+from orbitlake.llm import common, fingerprint, language_id, line_dedup, mtree, packing, registry, repair, secret_scan, simhash, source_mix, warc
 from orbitlake.llm.components import components, forest
 from orbitlake.llm.text import Column
 
@@ -380,6 +380,30 @@ def test_repeated_rows_keep_their_lines_once(spark):
     assert [r.text for r in line_dedup.dedup_lines(rows).collect()] == ["one line that repeats"]
 
 
+def test_lines_without_broadcasts(spark, monkeypatch):
+    """As on large tables: texts of documents are shuffled once, and tables of lines go before the result is computed."""
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    start = common.mark(spark)
+    out = line_dedup.dedup_lines(docs)
+    columns = {c for path in common._made[spark.sparkContext.applicationId][start:] for c in spark.read.parquet(path).columns}
+    assert "line" not in columns and "kept" in columns
+    got = [(r.doc_id, x) for r in out.collect() for x in r.text.split("\n") if x.strip()]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    final = plan[: plan.index("== Initial Plan ==")]
+    assert len(re.findall(r" Exchange hashpartitioning\(k1", final)) <= 2  # of the documents and of their fates
+    keep, _ = brute_lines(rows)
+    first = {i: t.split("\n") for i, t in rows}
+    assert sorted(got) == sorted((i, first[i][no]) for _, i, no in keep)
+
+
+def test_sieve_holds_every_key(spark):
+    keys = np.random.default_rng(62).integers(-(1 << 63), (1 << 63) - 1, 5_000)
+    bits = common.sieve(spark.createDataFrame([(int(k),) for k in keys[:2_500]], "h bigint"))
+    assert common.sifted(bits, keys[:2_500]).all() and common.sifted(bits, keys[2_500:]).mean() < 0.15
+
+
 # --- 7 Re-Pair
 
 
