@@ -491,6 +491,34 @@ def test_near_duplicates_against_brute_force(spark):
         assert {r.doc_id: r.group_id for r in got} == want and all(r.kept == (r.doc_id == r.group_id) for r in got)
 
 
+def test_parts_of_fingerprints_lose_no_pair(spark):
+    rng = np.random.default_rng(82)
+    seeds = rng.integers(0, 1 << 63, (2, 300), dtype=np.uint64)
+    h = np.repeat(seeds, 6, axis=1)
+    for c in range(h.shape[1]):  # up to 30 bits changed, spread as evenly over the parts as they can be, or at random
+        bits = rng.permutation(np.arange(128).reshape(8, 16).T.ravel()[: 8 * rng.integers(1, 16)] if c % 2 else 128)[: rng.integers(0, 31)]
+        for b in bits.tolist():
+            h[b // 64, c] ^= np.uint64(1 << (b % 64))
+    side = (h[0], h[1], rng.integers(0, 1 << 63, h.shape[1], dtype=np.uint64), np.bitwise_count(h[0]).astype(int) + np.bitwise_count(h[1]))
+    order = np.argsort(side[3], kind="stable")
+    side = tuple(c[order] for c in side)
+    for left, right in ((side, None), (tuple(c[:700] for c in side), tuple(c[700:] for c in side))):
+        want = {(i, j): s for i, j, s in zip(*(x.tolist() for x in simhash.compare(left, right, simhash.RADIUS)))}
+        for shares in (1, 4):
+            runs = [simhash.compare_parts(left, right, simhash.RADIUS, [k], n, shares) for k in range(8) for n in range(shares)]
+            found = [((min(i, j), max(i, j)) if right is None else (i, j), s) for r in runs for i, j, s in zip(*(x.tolist() for x in r))]
+            assert len(found) == len(want) > 300 and dict(found) == want
+        whole = simhash.compare_parts(left, right, simhash.RADIUS, range(8))
+        assert len(whole[0]) == len(want)
+
+
+def test_near_duplicates_by_parts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = {r.doc_id: (r.group_id, r.kept) for r in simhash.near_duplicates(docs).collect()}
+    for tile in (16, simhash.TILE):
+        assert {r.doc_id: (r.group_id, r.kept) for r in simhash.near_duplicates(docs, tile=tile, dense=0).collect()} == want
+
+
 def test_pairs_that_the_sketch_denies(spark):
     """Expected groups from bit differences and word counts in plain Python: no sketch."""
     rng = np.random.default_rng(80)
