@@ -4,7 +4,7 @@ import corpus_pipeline as cp
 import numpy as np
 from pyspark.sql import functions as F
 
-from orbitlake.llm import packing, simhash, source_mix
+from orbitlake.llm import common, packing, simhash, source_mix
 
 
 def test_stages(spark, small):
@@ -52,3 +52,12 @@ def test_run_on_awkward_tables(spark, tmp_path):
         got = cp.run(spark, str(tmp_path / name)).collect()
         assert {r.doc_id for r in got} <= {1, None, 4} and (name == "some") == bool(got)
         assert all(len(r.text.split()) <= packing.LENGTH for r in got)
+
+
+def test_line_stage_leaves_no_table_of_lines(spark):
+    """Later stages don't carry the second stage's scratch tables along."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(40)
+    start = common.mark(spark)
+    dict(cp.STAGES)["line dedup"](spark, docs, "/root/testdata/sf0.001")
+    left = common._made[spark.sparkContext.applicationId][start:]
+    assert left and all("line" not in spark.read.parquet(path).columns for path in left)
