@@ -6,9 +6,11 @@ Lines are the pieces between line breaks. A line is the set of its character shi
 ``THRESHOLD`` a pair shares a band with probability 1 - (1 - 0.8^5)^10 = 0.98. Every line
 of a bucket is verified, by the exact Jaccard similarity of the shingle sets, against the
 bucket's smallest line; where that leaves a bucket's lines in different components, against
-its next smallest, ``STARS`` times in all; and then every pair of lines that still are in
-different components. So no pair of a bucket that matters goes unchecked, and buckets of
-thousands of variants of a few lines stay linear. Verified pairs are joined by the
+its next smallest, ``STARS`` times in all; and then every
+pair of lines that still are in different components. So no pair of a bucket that matters
+goes unchecked, and buckets of thousands of variants of a few lines stay linear. The last
+pairs are never a table: a bucket's lines are sent once, in tiles of two parts if it is
+large, and only links that join components come back. Verified pairs are joined by the
 distributed union-find of ``components``; of each component the first line stays, that of
 the smallest ``doc_id`` (null last), at ties of the smallest document key, then of the
 smallest line number.
@@ -52,6 +54,9 @@ STARS = 4
 _rng = np.random.default_rng(6)
 _A = (_rng.integers(1, 1 << 32, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _B = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
+#: Lines, and bytes of them, of a part of a large bucket.
+PART_ROWS = 1 << 11
+PART_BYTES = 1 << 20
 _CHUNK = 1 << 17
 _VERIFIED = 1 << 22
 
@@ -140,14 +145,19 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(keys[:, b]) for b in range(BANDS)]], ["h1", *[f"b{b}" for b in range(BANDS)]])
 
 
+def _sets(texts: pa.Array) -> list[np.ndarray]:
+    """The sorted shingle set of each line."""
+    out = []
+    for _, _, data, off in Column(texts).chunks(_CHUNK):
+        h, start = shingles(data, off)
+        out += [np.unique(h[i:j]) for i, j in zip(start.tolist(), [*start[1:].tolist(), len(h)], strict=True)]
+    return out
+
+
 def _near(a: np.ndarray, b: np.ndarray, left: pa.Array, right: pa.Array) -> np.ndarray:
     """Which of the pairs reach the threshold; the shingles of a line (known by its hash) are sorted once."""
     _, first, which = np.unique(np.concatenate([a, b]), return_index=True, return_inverse=True)
-    texts = pa.concat_arrays([left, right]).take(pa.array(first))
-    col, sets = Column(texts), []
-    for _, _, data, off in col.chunks(_CHUNK):
-        h, start = shingles(data, off)
-        sets += [np.unique(h[i:j]) for i, j in zip(start.tolist(), [*start[1:].tolist(), len(h)], strict=True)]
+    sets = _sets(pa.concat_arrays([left, right]).take(pa.array(first)))
     out = np.zeros(len(a), bool)
     for k, (i, j) in enumerate(zip(which[: len(a)].tolist(), which[len(a) :].tolist(), strict=True)):
         x, y = sets[i], sets[j]
@@ -180,6 +190,84 @@ def verify(pairs: DataFrame, text: DataFrame) -> DataFrame:
     return cut(both.mapInArrow(thrifty(run), "a bigint, b bigint"))
 
 
+def _joins(sets: list[np.ndarray], group: np.ndarray, part: np.ndarray) -> list[tuple[int, int]]:
+    """Places of similar sets that join the groups of a tile: of one part all pairs are compared, of two those across."""
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    order = np.lexsort((size, part))
+    size, group = size[order], group[order]
+    _, shingle = np.unique(np.concatenate([sets[k] for k in order.tolist()]), return_inverse=True)
+    end = np.cumsum(size)
+    start = end - size
+    split = int(np.searchsorted(part[order], part[order[-1]]))  # the last part's first place
+    has = np.zeros(int(shingle.max()) + 1, bool)
+    out = []
+    for i in range(split or len(sets) - 1):
+        least = split if split else i + 1  # sets of such a size, in order of size, that the threshold can be reached
+        lo = least + int(np.searchsorted(size[least:], THRESHOLD * size[i] - 1e-9)) if split else least
+        hi = least + int(np.searchsorted(size[least:], size[i] / THRESHOLD + 1e-9, side="right"))
+        open_ = group[lo:hi] != group[i]
+        if not open_.any():
+            continue
+        mine = shingle[start[i] : end[i]]
+        has[mine] = True
+        shared = np.add.reduceat(has[shingle[start[lo] : end[hi - 1]]], start[lo:hi] - start[lo], dtype=np.int64)
+        has[mine] = False
+        near = lo + np.flatnonzero(open_ & (shared >= THRESHOLD * (size[lo:hi] + size[i] - shared) - 1e-9))
+        if len(near):
+            joined, first = np.unique(group[near], return_index=True)
+            out += [(int(order[i]), int(order[j])) for j in near[first].tolist()]
+            group[np.isin(group, joined)] = group[i]
+    return out
+
+
+def verify_buckets(member: DataFrame, text: DataFrame) -> DataFrame:
+    """Links ``(a, b)``, written, that join the lines of ``member(bucket, h1, c)`` as far as lines of a bucket and of different
+    components ``c`` are similar. No table of pairs is made: a line goes once to each tile of its bucket."""
+    each = cut(member.select("bucket", "h1", "c").join(text, "h1").withColumn("size", F.octet_length("line")))
+    parts = F.ceil(F.greatest(F.count("*") / PART_ROWS, F.sum("size") / PART_BYTES))
+    large = cut(each.groupBy("bucket").agg(parts.cast("int").alias("parts")).filter("parts > 1"))
+    tiled = each.join(sized(large), "bucket", "left").fillna(1, ["parts"]).withColumn("part", F.expr("cast(pmod(xxhash64(h1, 9), parts) as int)"))
+    tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    tiled = tiled.select("bucket", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "h1", "c", "line")
+    tile = ["bucket", "x", "y"]
+
+    def links(batch: pa.RecordBatch, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+        part, h1, c = (batch.column(i).to_numpy(zero_copy_only=False) for i in (3, 4, 5))
+        _, first, which = np.unique(h1, return_index=True, return_inverse=True)
+        sets = _sets(batch.column(6).take(pa.array(first)))
+        found = [(lo + i, lo + j) for lo, hi in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True) for i, j in _joins([sets[k] for k in which[lo:hi].tolist()], c[lo:hi], part[lo:hi])]
+        at = np.array(found, np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(h1[at[:, 0]]), pa.array(h1[at[:, 1]])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            whole = pa.Table.from_batches([*held, batch]).combine_chunks().to_batches()[0]
+            keys = np.stack([whole.column(i).to_numpy(zero_copy_only=False) for i in range(3)])
+            ends = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1  # the last tile may go on in the next batch
+            if len(ends):
+                yield from sliced(whole, ends)
+            held = [whole.slice(int(ends[-1]) if len(ends) else 0)]
+        for rest in held:
+            yield from links(rest, np.array([rest.num_rows]))
+
+    def sliced(whole: pa.RecordBatch, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Slices of bounded size, a tile at least."""
+        total = np.cumsum(np.diff(Column(whole.column(6)).offsets))[ends - 1]
+        at = 0
+        while at < len(ends):
+            lo, before = (int(ends[at - 1]), int(total[at - 1])) if at else (0, 0)
+            to = max(at + 1, int(np.searchsorted(total, before + _VERIFIED, side="right")))
+            yield from links(whole.slice(lo, int(ends[to - 1]) - lo), ends[at:to] - lo)
+            at = to
+
+    found = cut(tiled.repartition(*tile).sortWithinPartitions(*tile).mapInArrow(thrifty(run), "a bigint, b bigint"))
+    discard(each, large)
+    return found
+
+
 def line_components(lines: DataFrame) -> DataFrame:
     """``(node, root)`` of the lines of ``lines_of`` (by hash ``h1``) that are similar to another."""
     names = [f"b{b}" for b in range(BANDS)]
@@ -200,14 +288,12 @@ def line_components(lines: DataFrame) -> DataFrame:
         if not member.limit(1).count():
             discard(star, wanted, text)
             return roots
-        if step < STARS - 1:
-            first = member.filter("h1 = m").select("bucket", F.col("c").alias("cm"))
-            rest = member.filter("h1 <> m").join(first, "bucket").filter("c <> cm").select(F.col("m").alias("a"), F.col("h1").alias("b"))
-            member = member.filter("h1 <> m").select("bucket", "h1")
-        else:
-            x = member.select("bucket", F.col("h1").alias("a"), F.col("c").alias("ca"))
-            y = member.select("bucket", F.col("h1").alias("b"), F.col("c").alias("cb"))
-            rest = x.join(y, "bucket").filter("a < b and ca <> cb").select("a", "b")
+        if step == STARS - 1:
+            found = found.unionByName(verify_buckets(member, text))
+            break
+        first = member.filter("h1 = m").select("bucket", F.col("c").alias("cm"))
+        rest = member.filter("h1 <> m").join(first, "bucket").filter("c <> cm").select(F.col("m").alias("a"), F.col("h1").alias("b"))
+        member = member.filter("h1 <> m").select("bucket", "h1")
         found = found.unionByName(verify(rest.distinct(), text))
     discard(star, wanted, text)
     return components(found)

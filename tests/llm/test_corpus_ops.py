@@ -366,6 +366,21 @@ def test_buckets_of_several_groups(spark):
     assert got == {i for _, i, _ in keep} and len(got) >= groups
 
 
+def test_pairs_of_buckets_are_no_table(spark, monkeypatch):
+    """Variants of a template that aren't similar enough: pairs grow with the square of them, tables don't."""
+    monkeypatch.setattr(line_dedup, "PART_ROWS", 50)  # so that buckets are compared in tiles
+    verify, given = line_dedup.verify, []
+    monkeypatch.setattr(line_dedup, "verify", lambda pairs, text: given.append(pairs.count()) or verify(pairs, text))
+    rng = np.random.default_rng(63)
+    letters = list("abcdefghijklmnopqrstuvwxyz ")
+    shared = "".join(rng.choice(letters, 90))
+    lines = [shared + "".join(rng.choice(letters, 25)) for _ in range(250)]
+    rows = [(i, x, "en", "s") for i, x in enumerate([*lines, *[x + "xyz" for x in lines[200:]]])]
+    keep, _ = brute_lines([r[:2] for r in rows])
+    assert {r.doc_id for r in line_dedup.dedup_lines(docs_of(spark, rows)).collect()} == {i for _, i, _ in keep}
+    assert 200 < len(keep) < len(rows) - 40 and max(given) <= line_dedup.BANDS * len(rows)
+
+
 def test_lines_chains_and_ties(spark):
     base = "this line of text is repeated in many documents with some small changes "
     chain = [base + "abcdefghijklmnop"[:k] for k in range(10, 16)]  # neighbours are similar, ends less so
