@@ -6,7 +6,7 @@ Lines are the pieces between line breaks. A line is the set of its character shi
 ``THRESHOLD`` a pair shares a band with probability 1 - (1 - 0.8^5)^10 = 0.98. Every line
 of a bucket is verified, by the exact Jaccard similarity of the shingle sets, against the
 bucket's smallest line; where that leaves a bucket's lines in different components, against
-its next smallest, ``STARS`` times in all; and then every
+its next smallest, ``STARS`` times at most, until few pairs are left a line; and then every
 pair of lines that still are in different components. So no pair of a bucket that matters
 goes unchecked, and buckets of thousands of variants of a few lines stay linear. The last
 pairs are never a table: a bucket's lines are sent once, in tiles of two parts if it is
@@ -54,6 +54,8 @@ STARS = 4
 _rng = np.random.default_rng(6)
 _A = (_rng.integers(1, 1 << 32, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _B = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
+#: Pairs a line up to which all that are left are compared instead of another star.
+EASY = 64
 #: Lines, and bytes of them, of a part of a large bucket.
 PART_ROWS = 1 << 11
 PART_BYTES = 1 << 20
@@ -285,10 +287,11 @@ def line_components(lines: DataFrame) -> DataFrame:
         placed = member.join(roots.withColumnRenamed("node", "h1"), "h1", "left").select("bucket", "h1", F.coalesce("root", "h1").alias("c"))
         spread = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("h1").alias("m")).filter("lo <> hi").select("bucket", "m")
         member = cut(placed.join(spread, "bucket"))
-        if not member.limit(1).count():
+        left = member.groupBy("bucket").agg(F.count("*").cast("double").alias("n")).agg(F.sum("n"), F.sum(F.expr("n * (n - 1) / 2"))).first()
+        if left[0] is None:
             discard(star, wanted, text)
             return roots
-        if step == STARS - 1:
+        if step == STARS - 1 or left[1] <= EASY * left[0]:
             found = found.unionByName(verify_buckets(member, text))
             break
         first = member.filter("h1 = m").select("bucket", F.col("c").alias("cm"))

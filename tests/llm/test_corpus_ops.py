@@ -366,8 +366,10 @@ def test_buckets_of_several_groups(spark):
     assert got == {i for _, i, _ in keep} and len(got) >= groups
 
 
-def test_pairs_of_buckets_are_no_table(spark, monkeypatch):
+@pytest.mark.parametrize("easy", [0, 1_000])
+def test_pairs_of_buckets_are_no_table(spark, monkeypatch, easy):
     """Variants of a template that aren't similar enough: pairs grow with the square of them, tables don't."""
+    monkeypatch.setattr(line_dedup, "EASY", easy)
     monkeypatch.setattr(line_dedup, "PART_ROWS", 50)  # so that buckets are compared in tiles
     verify, given = line_dedup.verify, []
     monkeypatch.setattr(line_dedup, "verify", lambda pairs, text: given.append(pairs.count()) or verify(pairs, text))
@@ -379,6 +381,7 @@ def test_pairs_of_buckets_are_no_table(spark, monkeypatch):
     keep, _ = brute_lines([r[:2] for r in rows])
     assert {r.doc_id for r in line_dedup.dedup_lines(docs_of(spark, rows)).collect()} == {i for _, i, _ in keep}
     assert 200 < len(keep) < len(rows) - 40 and max(given) <= line_dedup.BANDS * len(rows)
+    assert len(given) == 1 if easy else len(given) > 1  # few pairs a line: no further star
 
 
 def test_lines_chains_and_ties(spark):
