@@ -88,6 +88,17 @@ def _starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 _LAST = np.array(sorted({x[-1] for s in _wide for x in s}), np.uint8)
 
 
+def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct value, and which of them each is; any place will do, so the sort needn't be stable."""
+    order = np.argsort(h)
+    ranked = h[order]
+    new = np.ones(len(h), bool)
+    np.not_equal(ranked[1:], ranked[:-1], out=new[1:])
+    which = np.empty(len(h), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order[new], which
+
+
 def tokenize(data: np.ndarray, offsets: np.ndarray, path: str = VOCABULARY) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all rows end to end, and the number of ids of each row."""
     enc, _ = encoder(path)
@@ -97,7 +108,7 @@ def tokenize(data: np.ndarray, offsets: np.ndarray, path: str = VOCABULARY) -> t
         return np.zeros(0, np.int64), np.zeros(len(offsets) - 1, np.int64)
     end = np.append(start[1:], len(data))
     h = span_hash(prefix_hash(data), start, end)
-    _, first, which = np.unique(h, return_index=True, return_inverse=True)
+    first, which = _distinct(h)
     if len(known) > _CACHE:
         known.clear()
     raw, spell = data.tobytes(), []
@@ -113,11 +124,12 @@ def tokenize(data: np.ndarray, offsets: np.ndarray, path: str = VOCABULARY) -> t
     n = size[which]
     total = np.cumsum(n)
     at = np.arange(int(total[-1])) + np.repeat(begin[which] - (total - n), n)
-    piece_row = np.searchsorted(offsets, start, side="right") - 1
-    return table[at].astype(np.int64), np.bincount(piece_row, weights=n, minlength=len(offsets) - 1).astype(np.int64)
+    return table.take(at).astype(np.int64), np.diff(np.append(0, total)[np.searchsorted(start, offsets)])
 
 
-def _slot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def _slot(a: np.ndarray, b: np.ndarray, turn: int) -> np.ndarray:
+    """Slots of pairs, others each round: pairs that share one seldom do so again."""
+    a = a + np.uint32(turn * 0x27D4EB2F & 0xFFFFFFFF)
     slot = a * np.uint32(0x9E3779B1) ^ b * np.uint32(0x85EBCA77)
     slot ^= slot >> np.uint32(15)
     return slot & np.uint32(_SLOTS - 1)
@@ -139,7 +151,7 @@ def _choose(pairs: np.ndarray, count: np.ndarray, size: int, turn: int) -> np.nd
     top = int(count.argmax())
     role[y[top]], role[x[top]] = (3, 3) if twin[top] else (2, 1)
     chosen = pairs[np.where(twin, role[x] == 3, (role[x] == 1) & (role[y] == 2))]
-    _, own = np.unique(_slot(*_split(chosen)), return_index=True)
+    _, own = np.unique(_slot(*_split(chosen), turn), return_index=True)
     return chosen[np.sort(own)]
 
 
@@ -149,18 +161,21 @@ def compress(ids: np.ndarray, counts: np.ndarray, base: int, least: int = LEAST)
     last = np.zeros(len(seq), bool)
     last[np.cumsum(counts[counts > 0]) - 1] = True
     live = ~last  # places that begin a pair which may occur again
+    rare = np.zeros(len(seq), bool)  # … but less often than the limit: a pair's places come at once and only get fewer, so these wait until it falls
     made: list[np.ndarray] = []
     n_rules, limit, turn = 0, 0, 0
     while live.any():
         turn += 1
-        at = np.flatnonzero(live)
-        a, b = seq[at], seq[at + 1]
-        slot = _slot(a, b)
+        at = np.flatnonzero(live & ~rare)
+        a, b = seq.take(at, mode="clip"), seq.take(at + 1, mode="clip")
+        slot = _slot(a, b, turn).astype(np.intp)  # once, for all that it indexes
         in_slot = np.bincount(slot, minlength=_SLOTS).astype(np.int32)
         limit = limit or max(int(in_slot.max()) // DROP, least)
-        in_slot = in_slot[slot]
+        in_slot = in_slot.take(slot, mode="clip")  # in range by their mask: clip goes without a copy
         live[at[in_slot < least]] = False
-        often = np.flatnonzero(in_slot >= limit)
+        often = in_slot >= limit
+        rare[at[~often]] = True
+        often = np.flatnonzero(often)
         code = a[often].astype(np.uint64) << np.uint64(32) | b[often]
         pairs, count = np.unique(code, return_counts=True)
         pairs, count = pairs[count >= limit], count[count >= limit]
@@ -168,11 +183,12 @@ def compress(ids: np.ndarray, counts: np.ndarray, base: int, least: int = LEAST)
             if limit <= least:
                 break
             limit = max(limit // DROP, least)
+            rare[:] = False
             continue
         chosen = _choose(pairs, count, base + n_rules, turn)
         table = np.full(_SLOTS, -1, np.int32)
-        table[_slot(*_split(chosen))] = np.arange(len(chosen), dtype=np.int32)
-        which = table[slot[often]]
+        table[_slot(*_split(chosen), turn)] = np.arange(len(chosen), dtype=np.int32)
+        which = table.take(slot.take(often, mode="clip"), mode="clip")
         hit = np.flatnonzero(which >= 0)
         hit = hit[chosen[which[hit]] == code[hit]]
         place, which = at[often[hit]], which[hit]
@@ -189,13 +205,16 @@ def compress(ids: np.ndarray, counts: np.ndarray, base: int, least: int = LEAST)
         last[place] = last[place + 1]
         before = place[place > 0] - 1
         live[place], live[before] = ~last[place], ~last[before]
+        rare[place] = rare[before] = False
         stay = np.ones(len(seq), bool)
         stay[place + 1] = False
-        seq, last, live = seq[stay], last[stay], live[stay]
+        stay = np.flatnonzero(stay)
+        seq, last, live, rare = (x.take(stay, mode="clip") for x in (seq, last, live, rare))
         made.append(chosen)
         n_rules += len(chosen)
         if len(chosen) < FEW * n_rules:
             limit = max(limit // DROP, least)
+            rare[:] = False
     per = np.zeros(len(counts), np.int64)
     per[counts > 0] = np.diff(np.append(-1, np.flatnonzero(last)))
     x, y = _split(np.concatenate(made) if made else np.zeros(0, np.uint64))

@@ -479,6 +479,20 @@ def test_grammar_against_plain_repair():
     assert max(left.values(), default=0) < 2
 
 
+def test_rare_pairs_are_not_counted_each_round(monkeypatch):
+    """Places whose pair is rarer than the limit wait; pairs that share a slot in one round don't in the next."""
+    monkeypatch.setattr(repair, "_SLOTS", 1 << 14)
+    slot, counted = repair._slot, []
+    monkeypatch.setattr(repair, "_slot", lambda a, b, *turn: counted.append(len(a)) or slot(a, b, *turn))
+    ids = np.random.default_rng(71).zipf(1.2, 60_000) % 5_000
+    symbols, per, pairs = repair.compress(ids, np.array([len(ids)]), 5_000)
+    lengths = repair.expansion_lengths(pairs, 5_000)
+    assert repair.decode(symbols, pairs, lengths, 5_000) == ids.tolist()
+    code = symbols[:-1] << 32 | symbols[1:]
+    _, n = np.unique(code[symbols[:-1] != symbols[1:]], return_counts=True)
+    assert n.max() == 1 and sum(counted) < 8 * len(ids)
+
+
 def test_compress_runs_and_borders():
     for ids, counts in (([5] * 9, [9]), ([1, 2, 1, 2, 1, 2], [3, 3]), ([1], [1]), ([], []), ([1, 1, 1, 2, 2, 2, 1, 1], [4, 4])):
         symbols, per, pairs = repair.compress(np.array(ids), np.array(counts, dtype=int), 10, least=2)
