@@ -10,7 +10,9 @@ its next smallest, ``STARS`` times at most, until few pairs are left a line; and
 pair of lines that still are in different components. So no pair of a bucket that matters
 goes unchecked, and buckets of thousands of variants of a few lines stay linear. The last
 pairs are never a table: a bucket's lines are sent once, in tiles of two parts if it is
-large, and only links that join components come back. Verified pairs are joined by the
+large, and only links that join components come back. Of a tile's pairs only those are
+compared in full whose parity maps (a bit for each place, flipped by every shingle that
+falls on it) differ in no more bits than similar sets may in shingles. Verified pairs are joined by the
 distributed union-find of ``components``; of each component the first line stays, that of
 the smallest ``doc_id`` (null last), at ties of the smallest document key, then of the
 smallest line number.
@@ -55,12 +57,17 @@ _rng = np.random.default_rng(6)
 _A = (_rng.integers(1, 1 << 32, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _B = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
 #: Pairs a line up to which all that are left are compared instead of another star.
-EASY = 64
+EASY = 512
+#: Bits of a line's parity map.
+PARITY = 1 << 10
 #: Lines, and bytes of them, of a part of a large bucket.
 PART_ROWS = 1 << 11
 PART_BYTES = 1 << 20
 _CHUNK = 1 << 17
 _VERIFIED = 1 << 22
+#: Bytes of lines, and pairs of them, that a task of the last comparison gets.
+_TASK_BYTES = 1 << 23
+_TASK_PAIRS = 1 << 24
 
 
 def _points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -192,32 +199,78 @@ def verify(pairs: DataFrame, text: DataFrame) -> DataFrame:
     return cut(both.mapInArrow(thrifty(run), "a bigint, b bigint"))
 
 
-def _joins(sets: list[np.ndarray], group: np.ndarray, part: np.ndarray) -> list[tuple[int, int]]:
-    """Places of similar sets that join the groups of a tile: of one part all pairs are compared, of two those across."""
-    size = np.fromiter(map(len, sets), np.int64, len(sets))
-    order = np.lexsort((size, part))
-    size, group = size[order], group[order]
-    _, shingle = np.unique(np.concatenate([sets[k] for k in order.tolist()]), return_inverse=True)
-    end = np.cumsum(size)
-    start = end - size
-    split = int(np.searchsorted(part[order], part[order[-1]]))  # the last part's first place
+def _parity(sets: list[np.ndarray]) -> np.ndarray:
+    """Parity maps ``(words, sets)``: bit b tells whether a set has an odd number of shingles that fall on b.
+
+    Two maps differ in at most as many bits as their sets do in shingles.
+    """
+    out = np.zeros((PARITY // 64, len(sets)), np.uint64)
+    for lo in range(0, len(sets), 1 << 12):
+        some = sets[lo : lo + (1 << 12)]
+        row = np.repeat(np.arange(len(some)), np.fromiter(map(len, some), np.int64, len(some)))
+        at = row * PARITY + (np.concatenate(some) & np.uint64(PARITY - 1)).astype(np.int64)
+        odd = (np.bincount(at, minlength=len(some) * PARITY) & 1).astype(np.uint8).reshape(len(some), PARITY)
+        out[:, lo : lo + len(some)] = np.packbits(odd, axis=1).view(np.uint64).T
+    return out
+
+
+def _possible(size: np.ndarray, group: np.ndarray, part: np.ndarray, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places of a tile, in order of the first, that may join two groups: by size and parity map ``odd`` their sets can be similar.
+
+    None that is similar is lost. Of one part all pairs are looked at, of two those across.
+    """
+    _, which, n = np.unique(group, return_inverse=True, return_counts=True)
+    rows = np.flatnonzero(which != n.argmax())  # any such pair has a line outside the largest group
+    rank = np.full(len(size), len(size))
+    rank[rows] = np.arange(len(rows))
+    most = 1 + int(part.min() == part.max())  # parts a pair may have in common, and one
+    one, two = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    step = max(1, (1 << 17) // len(size))
+    for lo in range(0, len(rows), step):
+        r = rows[lo : lo + step, None]
+        ok = (group[r] != group) & (rank[r] < rank) & ((part[r] == part) < most)
+        ok &= np.minimum(size[r], size) >= THRESHOLD * np.maximum(size[r], size) - 1e-9
+        apart = np.zeros(ok.shape, np.uint16)
+        for word in odd:
+            apart += np.bitwise_count(word[r] ^ word)
+        ok &= apart <= (1 - THRESHOLD) / (1 + THRESHOLD) * (size[r] + size) + 1e-6
+        i, j = np.nonzero(ok)
+        one.append(r[i, 0])
+        two.append(j)
+    return np.concatenate(one), np.concatenate(two)
+
+
+def _joins(sets: list[np.ndarray], group: np.ndarray, part: np.ndarray, odd: np.ndarray) -> list[tuple[int, int]]:
+    """Places of similar sets that join the groups of a tile: of one part all pairs are compared, of two those across.
+
+    A pair is compared in full only if ``_possible`` names it.
+    """
+    one, two = _possible(np.fromiter(map(len, sets), np.int64, len(sets)), group, part, odd)
+    if not len(one):
+        return []
+    some = np.unique(np.concatenate([one, two]))
+    size = np.fromiter((len(sets[k]) for k in some.tolist()), np.int64, len(some))
+    start = np.cumsum(size) - size
+    _, shingle = np.unique(np.concatenate([sets[k] for k in some.tolist()]), return_inverse=True)
     has = np.zeros(int(shingle.max()) + 1, bool)
+    begin = np.flatnonzero(np.append(True, one[1:] != one[:-1]))
+    group, i_of, j_of = group[some], np.searchsorted(some, one[begin]), np.searchsorted(some, two)
     out = []
-    for i in range(split or len(sets) - 1):
-        least = split if split else i + 1  # sets of such a size, in order of size, that the threshold can be reached
-        lo = least + int(np.searchsorted(size[least:], THRESHOLD * size[i] - 1e-9)) if split else least
-        hi = least + int(np.searchsorted(size[least:], size[i] / THRESHOLD + 1e-9, side="right"))
-        open_ = group[lo:hi] != group[i]
-        if not open_.any():
+    for i, lo, hi in zip(i_of.tolist(), begin.tolist(), [*begin[1:].tolist(), len(two)], strict=True):
+        at = j_of[lo:hi]
+        at = at[group[at] != group[i]]
+        if not len(at):
             continue
-        mine = shingle[start[i] : end[i]]
+        mine = shingle[start[i] : start[i] + size[i]]
         has[mine] = True
-        shared = np.add.reduceat(has[shingle[start[lo] : end[hi - 1]]], start[lo:hi] - start[lo], dtype=np.int64)
+        n = size[at]
+        first = np.cumsum(n) - n
+        shared = np.add.reduceat(has[shingle[np.repeat(start[at] - first, n) + np.arange(int(n.sum()))]], first, dtype=np.int64)
         has[mine] = False
-        near = lo + np.flatnonzero(open_ & (shared >= THRESHOLD * (size[lo:hi] + size[i] - shared) - 1e-9))
+        near = at[shared >= THRESHOLD * (n + size[i] - shared) - 1e-9]
         if len(near):
             joined, first = np.unique(group[near], return_index=True)
-            out += [(int(order[i]), int(order[j])) for j in near[first].tolist()]
+            out += [(int(some[i]), int(some[j])) for j in near[first].tolist()]
             group[np.isin(group, joined)] = group[i]
     return out
 
@@ -227,7 +280,10 @@ def verify_buckets(member: DataFrame, text: DataFrame) -> DataFrame:
     components ``c`` are similar. No table of pairs is made: a line goes once to each tile of its bucket."""
     each = cut(member.select("bucket", "h1", "c").join(text, "h1").withColumn("size", F.octet_length("line")))
     parts = F.ceil(F.greatest(F.count("*") / PART_ROWS, F.sum("size") / PART_BYTES))
-    large = cut(each.groupBy("bucket").agg(parts.cast("int").alias("parts")).filter("parts > 1"))
+    sizes = cut(each.groupBy("bucket").agg(parts.cast("int").alias("parts"), F.count("*").cast("double").alias("n"), F.sum("size").cast("double").alias("bytes")))
+    total = sizes.agg(F.sum(F.expr("bytes * parts")), F.sum(F.expr("n * n / 2"))).first()
+    tasks = min(50_000, 1 + int(max((total[0] or 0) / _TASK_BYTES, (total[1] or 0) / _TASK_PAIRS)))
+    large = sizes.filter("parts > 1").select("bucket", "parts")
     tiled = each.join(sized(large), "bucket", "left").fillna(1, ["parts"]).withColumn("part", F.expr("cast(pmod(xxhash64(h1, 9), parts) as int)"))
     tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     tiled = tiled.select("bucket", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "h1", "c", "line")
@@ -237,7 +293,8 @@ def verify_buckets(member: DataFrame, text: DataFrame) -> DataFrame:
         part, h1, c = (batch.column(i).to_numpy(zero_copy_only=False) for i in (3, 4, 5))
         _, first, which = np.unique(h1, return_index=True, return_inverse=True)
         sets = _sets(batch.column(6).take(pa.array(first)))
-        found = [(lo + i, lo + j) for lo, hi in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True) for i, j in _joins([sets[k] for k in which[lo:hi].tolist()], c[lo:hi], part[lo:hi])]
+        odd = _parity(sets)
+        found = [(lo + i, lo + j) for lo, hi in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True) for i, j in _joins([sets[k] for k in which[lo:hi].tolist()], c[lo:hi], part[lo:hi], odd[:, which[lo:hi]])]
         at = np.array(found, np.int64).reshape(-1, 2)
         yield pa.RecordBatch.from_arrays([pa.array(h1[at[:, 0]]), pa.array(h1[at[:, 1]])], ["a", "b"])
 
@@ -265,8 +322,9 @@ def verify_buckets(member: DataFrame, text: DataFrame) -> DataFrame:
             yield from links(whole.slice(lo, int(ends[to - 1]) - lo), ends[at:to] - lo)
             at = to
 
-    found = cut(tiled.repartition(*tile).sortWithinPartitions(*tile).mapInArrow(thrifty(run), "a bigint, b bigint"))
-    discard(each, large)
+    # a number of its own, as tasks merged by bytes would get too many pairs
+    found = cut(tiled.repartition(tasks, *tile).sortWithinPartitions(*tile).mapInArrow(thrifty(run), "a bigint, b bigint"))
+    discard(each, sizes)
     return found
 
 
