@@ -692,7 +692,7 @@ def _log(spark, d):
     row = F.concat_ws(" ", "event_id", "value", 2 * F.col("value"), F.regexp_replace((-F.col("value")).cast("string"), "E", "D"), "event_id")
     lines = e.select("user_id", F.struct("o", row.alias("line")).alias("l")).groupBy(F.col("user_id").alias("run")).agg(F.sort_array(F.collect_list("l")).alias("l"))
     text = F.concat(F.lit("some banner\nStep PotEng KinEng Press Volume\n"), F.array_join("l.line", "\n"), F.lit("\nLoop time of 1\n1 2 3 4 5"))
-    got = log.with_energies(log.read_log(spark, f"{_files(spark, lines.select('run', text.alias('value')))}/*/*.txt"))
+    got = log.with_energies(log.read_log(spark, _bundle(spark, lines.select("run", text.alias("value"))), bundled=True))
     return _round(got.select(_run().alias("user_id"), "row_idx", "step", "pe", "ke", "press", "pv"), 9, "pv")
 
 

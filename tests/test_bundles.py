@@ -8,7 +8,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from orbitlake.plans import catalog
-from orbitlake.sources import bundles, deck
+from orbitlake.sources import bundles, deck, log
 
 
 def _bundle(spark, folder, members):
@@ -48,3 +48,21 @@ def _written(spark, monkeypatch, query, folder, sf_dir):
 def test_decks_take_no_file_a_run(spark, tmp_path, monkeypatch):
     rows, files = _written(spark, monkeypatch, "deck_read", tmp_path / "d", "/root/testdata/sf0.01")
     assert rows == 100 and 0 < files <= 16
+
+
+def test_logs_take_no_file_a_run(spark, tmp_path, monkeypatch):
+    rows, files = _written(spark, monkeypatch, "log_read", tmp_path / "l", "/root/testdata/sf0.01")
+    assert rows == 10_000 and 0 < files <= 16  # of 150 users
+
+
+def test_bundle_and_files_give_the_same_logs(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(log, "_ROWS", 3)  # texts of several rows, several texts a batch
+    rows = [f"{i} {-i}.5 1D2 x nan" for i in range(4)]
+    for i in range(5):
+        (tmp_path / f"f/run={i}").mkdir(parents=True)
+        (tmp_path / f"f/run={i}/log.txt").write_text("\n".join(["banner", "Step PotEng KinEng Press Volume", *rows[:i], "Loop time of 1", "9 9 9 9 9"]))
+    bundles.write_bundle(bundles.read_texts(spark, str(tmp_path / "f/*/*.txt")), str(tmp_path / "b"))
+    one, two = (sorted(map(repr, d.collect())) for d in (log.read_log(spark, str(tmp_path / "f/*/*.txt")), log.read_log(spark, str(tmp_path / "b"), bundled=True)))
+    assert one == two and len(one) == 10
+    last = log.read_log(spark, str(tmp_path / "f/run=4/*.txt")).filter("row_idx = 3").first()
+    assert (last.step, last.pe, last.ke, last.press, last.vol) == (3.0, -3.5, 100.0, None, None)
